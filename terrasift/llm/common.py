@@ -64,7 +64,8 @@ def numbered(df: DataFrame, group: str, order: Sequence[str], out: str, salts: i
     """Adds a number from 0, without gaps, to the rows of each group; no task holds a whole group.
 
     Rows are dealt by (group, salt), the salt being a hash of the order columns; each part is numbered by itself and
-    then moved up by the counts of the parts before it. df is read twice and must give the same rows each time.
+    then moved up by the counts of the parts before it. df is read twice and must give the same rows each time. A null
+    group would be lost: callers pass none.
     """
     salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
     df = df.withColumn("_salt", salt)
@@ -74,8 +75,9 @@ def numbered(df: DataFrame, group: str, order: Sequence[str], out: str, salts: i
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     part = Window.partitionBy(group, "_salt").orderBy(*order)
     ranked = df.withColumn("_rank", F.row_number().over(part).cast("long") - 1)
-    same = [ranked[group].eqNullSafe(starts[group]), ranked["_salt"] == starts["_salt"]]
-    return ranked.join(F.broadcast(starts), same).select(*[ranked[c] for c in df.columns if c != "_salt"], (F.col("_rank") + F.col("_before")).alias(out))
+    # both sides are dealt by (group, salt), so the rows don't move again; the counts grow with the salts: no broadcast
+    out_rows = ranked.join(starts, [group, "_salt"])
+    return out_rows.select(*[c for c in df.columns if c != "_salt"], (F.col("_rank") + F.col("_before")).alias(out))
 
 
 # --- Arrow batches -------------------------------------------------------------------------------------------------

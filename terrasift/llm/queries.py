@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import id_remainder
+    from .language_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(id_remainder("doc_id", 5) != 0))
+    out = predict(docs.select("doc_id", "text"), model, reject=False)
+    return out.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,9 +30,69 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import Tree, shard
+
+    tree = Tree.balanced(40)
+    return shard(table(spark, sf_dir, "documents"), tree, tree.grown()).withColumn("law", F.lit("key"))
+
+
+def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, against a replica in which known records are damaged."""
+    from .common import checkpoint
+    from .fixity import audit, records, rotted
+
+    stored = checkpoint(records(table(spark, sf_dir, "pages")))
+    return audit(stored, rotted(stored))
+
+
+def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import id_remainder
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels").filter(id_remainder("doc_id", 3) != 1))
+    out = score(docs, model)
+    return out.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic", "spans")
+
+
+def op10_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import id_remainder
+    from .quality import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels").filter(id_remainder("doc_id", 5) != 0))
+    out = score(docs, model)
+    return out.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+#: Merkle levels by string_agg; the damage is known, so statuses come from comparing every record's digest.
+OP4_SQL = """
+WITH r AS (
+  SELECT page_id, page_id // 1024 AS file,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+         || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+         || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+         || coalesce(html, '') || chr(13) AS head
+  FROM pages),
+n AS (
+  SELECT page_id, file, row_number() OVER w - 1 AS number, sha256(head || chr(10) || chr(13) || chr(10)) AS digest,
+         sha256(head || chr(10) || chr(13) || CASE WHEN page_id % 101 = 7 THEN 'X' ELSE chr(10) END) AS other_digest, strlen(head) + 3 AS length,
+         coalesce(sum(strlen(head) + 3) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id)),
+a0 AS (SELECT file, number AS node, sha256(concat_ws(' ', number, "offset", length, digest)) AS h, sha256(concat_ws(' ', number, "offset", length, other_digest)) AS g FROM n),
+a1 AS (SELECT file, node // 16 AS node, sha256(string_agg(node || ':' || h, ',' ORDER BY a0.node)) AS h, sha256(string_agg(node || ':' || g, ',' ORDER BY a0.node)) AS g FROM a0 GROUP BY file, a0.node // 16),
+a2 AS (SELECT file, node // 16 AS node, sha256(string_agg(node || ':' || h, ',' ORDER BY a1.node)) AS h, sha256(string_agg(node || ':' || g, ',' ORDER BY a1.node)) AS g FROM a1 GROUP BY file, a1.node // 16),
+a3 AS (SELECT file, sha256(string_agg(node || ':' || h, ',' ORDER BY a2.node)) AS h, sha256(string_agg(node || ':' || g, ',' ORDER BY a2.node)) AS g FROM a2 GROUP BY file, a2.node // 16)
+SELECT page_id, file, number, "offset", length, digest, other_digest, CASE WHEN digest = other_digest THEN 'intact' ELSE 'corrupt' END AS status,
+       h <> g AS file_differs, h AS good_root, g AS other_root
+FROM n JOIN a3 USING (file)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_merkle_fixity": OP4_SQL}
