@@ -56,6 +56,12 @@ def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic", "spans")
 
 
+def op9_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import flagged, report
+
+    return flagged(report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("items")
+
+
 def op10_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import id_remainder
     from .quality import fit, score
@@ -90,9 +96,25 @@ FROM n JOIN a3 USING (file)
 """
 
 
+#: Words by position and windows as lists, joined on the whole window.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item, least(len(w), 13) AS size, array_to_string(w[i:i + 12], ' ') AS phrase FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT size FROM v),
+p AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, s WHERE len(w) >= size)),
+m AS (SELECT DISTINCT doc_id, item, i, size FROM p JOIN v USING (size, phrase)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM m) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+""".replace("\\\\", "\\")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_merkle_fixity": OP4_SQL}
+    return {"op4_merkle_fixity": OP4_SQL, "op9_inverted_index": OP9_SQL}
