@@ -46,6 +46,12 @@ def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(stored, rotted(stored))
 
 
+def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=90)
+
+
 def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import id_remainder
     from .toxicity import fit, score
@@ -112,9 +118,27 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """.replace("\\\\", "\\")
 
 
+#: Every pair that shares a shingle is counted; components by recursion over the links.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS class FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY class) AS class_id FROM k),
+r AS (SELECT s.* FROM s JOIN c USING (doc_id) WHERE doc_id = class_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
+e AS (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
+t AS (SELECT u, v FROM e UNION SELECT t.u, e.v FROM t JOIN e ON t.v = e.u),
+m AS (SELECT u, least(u, min(v)) AS root FROM t GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(class_id, d.doc_id) AS class_id, coalesce(root, class_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.u = c.class_id
+""".replace("\\\\", "\\")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_merkle_fixity": OP4_SQL, "op9_inverted_index": OP9_SQL}
+    return {"op4_merkle_fixity": OP4_SQL, "op6_prefix_tree_join": OP6_SQL, "op9_inverted_index": OP9_SQL}
