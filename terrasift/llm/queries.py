@@ -62,6 +62,13 @@ def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic", "spans")
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without its repeated passages."""
+    from .span_dedup import dedup_spans
+
+    return dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import flagged, report
 
