@@ -97,8 +97,8 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 13, rare: int =
     return intersected(postings, wanted, slop, small).distinct(), windows
 
 
-def report(docs: DataFrame, items: DataFrame, width: int = 13, rare: int = 3, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items (sorted).
+def report(docs: DataFrame, items: DataFrame, width: int = 13, rare: int = 3, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", keep: bool = False) -> DataFrame:
+    """A row for each document: doc_id (with `keep` all of the documents' columns instead, as c0, c1, ...), n_words, n_hit (words inside any occurrence of a window), n_items, items (sorted).
 
     Null and empty texts have no words; repeated rows each get a row; documents' and items' other columns are ignored. No
     items, or none with words: nothing is hit.
@@ -108,17 +108,19 @@ def report(docs: DataFrame, items: DataFrame, width: int = 13, rare: int = 3, id
     some = small_enough(found, BROADCAST_ROWS // 10)
     per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "window", "items")).alias("places"))
     t = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(t).alias("doc"), words_of(F.col(text_column)).alias("w"))
+    own = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)] if keep else [F.col(id_column).alias("doc_id")]
+    names = [f"c{k}" for k in range(len(docs.columns))] if keep else ["doc_id"]
+    rows = docs.select(*own, F.xxhash64(t).alias("doc"), words_of(F.col(text_column)).alias("w"))
     rows = rows.join(hinted(per_doc, some), "doc", "left")
     true = F.filter(F.coalesce("places", F.array()), lambda p: (p["start"] >= 0) & (F.slice("w", F.greatest(p["start"], F.lit(0)) + 1, p["size"]) == p["window"]))
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_sort(true).alias("p"))
+    rows = rows.select(*names, F.size("w").cast("long").alias("n_words"), F.array_sort(true).alias("p"))
     step = lambda acc, p: F.struct(  # noqa: E731  words of a place that lie behind all earlier places
         (acc["hit"] + F.greatest(F.lit(0), p["start"] + p["size"] - F.greatest(acc["end"], p["start"]))).cast("long").alias("hit"), F.greatest(acc["end"], p["start"] + p["size"]).cast("int").alias("end")
     )
     start = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("int").alias("end"))
     hit = F.when(F.size("p") == 0, F.lit(0).cast("long")).otherwise(F.aggregate("p", start, step)["hit"])
     named = F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda p: p["items"]))))
-    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size(named).cast("long").alias("n_items"), named.alias("items"))
+    return rows.select(*names, "n_words", hit.alias("n_hit"), F.size(named).cast("long").alias("n_items"), named.alias("items"))
 
 
 def flagged(rows: DataFrame, share: int = 20) -> DataFrame:
@@ -127,3 +129,9 @@ def flagged(rows: DataFrame, share: int = 20) -> DataFrame:
     return rows.withColumn("items_sha256", digest).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = 13, rare: int = 3, share: int = 20, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated."""
+    rows = flagged(report(docs, items, width, rare, id_column, text_column, item_column, keep=True), share).filter(~F.col("contaminated"))
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

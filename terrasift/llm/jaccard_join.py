@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, NOT_SPACE, checkpoint, joined, list_array, map_batches, shingles, slices, span_hashes, utf8, word_spans
 from .graph import components
@@ -88,7 +89,7 @@ def signatures(docs: DataFrame, n: int, share: float) -> DataFrame:
 
 
 def survivors(rows: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, rep): classes that may have a partner, by the part of the space in `rows`."""
+    """(a, id): classes that may have a partner, by the part of the space in `rows`, each with a row's id."""
     least = math.ceil(threshold / (100 - threshold))  # smaller sets have no partner but copies
     sent = rows.filter(F.col("part").isNotNull() & (F.col("size") >= least))
     terms = sent.select("id", F.explode("part").alias("t"))
@@ -96,7 +97,7 @@ def survivors(rows: DataFrame, threshold: int) -> DataFrame:
     shared = terms.join(common, "t", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     open_ = sent.select("id", "a", "b", "size", F.size("part").alias("m")).join(shared, "id", "left")
     open_ = open_.filter((F.col("m") - F.coalesce("k", F.lit(0))) <= lacking_column("size", threshold))
-    return open_.groupBy("a", "b").agg(F.min("id").alias("rep"))
+    return open_.groupBy("a").agg(F.min("id").alias("id"))
 
 
 def lacking_column(size: str, threshold: int):
@@ -104,15 +105,14 @@ def lacking_column(size: str, threshold: int):
 
 
 def full_sets(docs: DataFrame, open_: DataFrame, n: int) -> DataFrame:
-    """(rep, size, grams) of the open classes, from the texts of their representatives alone."""
-    rows = joined(docs, open_.select(F.col("rep").alias("id"), "a", "b"), "id", "inner").select("id", "text", "a", "b")
+    """(rep, size, grams) of the open classes, from one text each; rep is the first half of the set's digest."""
+    rows = joined(docs, open_.select("id", "a"), "id", "inner").select("a", "text")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, at = utf8(batch.column(1))
             sets = [s for x, y in slices(at) for s in ngram_sets(data[at[x] : at[y]], at[x : y + 1] - at[x], n)]
-            digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            same = np.array([(d >> 64) - (1 << 63) == a and (d & (2**64 - 1)) - (1 << 63) == b for d, a, b in zip(digests, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], bool)
+            same = np.array([(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63) == a for s, a in zip(sets, batch.column(0).to_pylist(), strict=True)], bool)
             sizes = np.array([len(s) for s in sets])
             grams = list_array(signed(np.concatenate(sets)), np.concatenate(([0], np.cumsum(sizes))), pa.int64())
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), grams], names=["rep", "size", "grams"])
@@ -240,7 +240,8 @@ def links(sets: DataFrame, threshold: int, part: int = PART) -> DataFrame:
     weight = groups.join(sets.select(F.col("rep").alias("node"), "size"), "node").groupBy("root").agg(F.sum("size").alias("w")).filter(F.col("w") > part)
     large = checkpoint(weight.select(F.col("root").alias("grp"), F.ceil(F.col("w") / part).cast("int").alias("parts")))
     if not large.head(1):
-        return checkpoint(connected(members.select("grp", "rep", "grams"), threshold)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        stars = checkpoint(connected(members.select("grp", "rep", "grams"), threshold))
+        return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     split = members.join(large, "grp", "left")
     own = F.pmod(F.xxhash64("rep"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("grp", F.least(k, own), F.greatest(k, own)))
@@ -249,6 +250,28 @@ def links(sets: DataFrame, threshold: int, part: int = PART) -> DataFrame:
     return components(checkpoint(connected(dealt, threshold)))
 
 
+def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, text): ids, or for rows without one a number from NO_ID up, by their text."""
+    text = F.col(text_column).cast("string")
+    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 60))).alias("id"), text.alias("text"))
+
+
+def classified(rows: DataFrame, n: int, threshold: int, part: int = PART) -> DataFrame:
+    """(id, size, a, class_id, component_id) for rows (id, text): ids from NO_ID up stand for none."""
+    share = min(1.0, 1.6 * (100 - threshold) / 100)
+    signed_ = checkpoint(signatures(rows, n, share))
+    sets = checkpoint(full_sets(rows, checkpoint(survivors(signed_, threshold)), n))
+    linked = links(sets, threshold, part)
+    classes = signed_.filter("size > 0").groupBy("a", "b").agg(F.min("id").alias("class_id"))
+    named = classes.join(linked, classes["a"] == linked["node"]).select("node", "root", "class_id")
+    roots = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    places = named.join(roots, "root").select(F.col("node").alias("a"), "component_id")
+    classes = classes.join(places, "a", "left")
+    out = signed_.select("id", "size", "a", "b").join(classes, ["a", "b"], "left")
+    own = F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("class_id"))
+    return out.select("id", "size", "a", own.alias("class_id"), F.coalesce("component_id", own).alias("component_id"))
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text", part: int = PART) -> DataFrame:
     """A row for each document: doc_id, n_shingles, class_id, component_id.
 
@@ -258,15 +281,20 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80, id_column: st
     nothing; a row without an id has null as its class and component unless a row with an id is among them. Rows with the
     same id are rows of their own. Other columns are ignored.
     """
-    given = F.col(id_column).cast("long")
+    named = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias("doc_id" if c == "id" else c)
+    out = classified(keyed(docs, id_column, text_column), n, threshold, part)
+    return out.select(named("id"), F.col("size").cast("long").alias("n_shingles"), named("class_id"), named("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: the one with the smallest id.
+
+    Texts without words all stay, as nothing links them. Of rows that are equal in id and text one stays.
+    """
     text = F.col(text_column).cast("string")
-    rows = docs.select(F.coalesce(given, F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 60))).alias("id"), text.alias("text"))
-    share = min(1.0, 1.6 * (100 - threshold) / 100)
-    signed_ = checkpoint(signatures(rows, n, share))
-    sets = checkpoint(full_sets(rows, checkpoint(survivors(signed_, threshold)), n))
-    linked = links(sets, threshold, part).withColumnsRenamed({"node": "class_id", "root": "component_id"})
-    classes = signed_.filter("size > 0").groupBy("a", "b").agg(F.min("id").alias("class_id")).join(linked, "class_id", "left")
-    out = signed_.select("id", "size", "a", "b").join(classes, ["a", "b"], "left")
-    named = lambda c: F.when(c < NO_ID, c)
-    own = F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("class_id"))
-    return out.select(named(F.col("id")).alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), named(own).alias("class_id"), named(F.coalesce("component_id", own)).alias("component_id"))
+    key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 60)))
+    found = classified(keyed(docs, id_column, text_column), n, threshold)
+    stay = found.filter("id = component_id").select(F.col("id").alias("_id")).distinct()
+    same = Window.partitionBy("_id", F.xxhash64("_text")).orderBy("_id")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_id"), text.alias("_text")).join(stay, "_id", "left_semi")
+    return rows.withColumn("_n", F.row_number().over(same)).filter((F.col("_n") == 1) | (F.coalesce(F.trim("_text"), F.lit("")) == "")).select("_row.*")

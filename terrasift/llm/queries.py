@@ -46,6 +46,12 @@ def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(stored, rotted(stored))
 
 
+def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import chunked_media
+
+    return chunked_media(table(spark, sf_dir, "documents"))
+
+
 def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_join
 
