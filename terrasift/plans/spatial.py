@@ -255,7 +255,7 @@ def marched(spark, n: int):
     out, p = [], seed_frame(spark)
     for _ in range(n):
         p = D.step(p, m)
-        out.append(p)
+        out.append(D.normalised(p, "p", 0.0))
     return out
 
 
