@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, NOT_SPACE, checkpoint, joined, list_array, map_batches, shingles, slices, span_hashes, utf8, word_spans
+from .common import LOWER, NOT_SPACE, checkpoint, joined, list_array, map_batches, release, shingles, slices, span_hashes, utf8, word_spans
 from .graph import components
 
 #: n-grams that a task takes of one group at most; larger groups are dealt by pairs of parts.
@@ -105,7 +105,8 @@ def lacking_column(size: str, threshold: int):
 
 
 def full_sets(docs: DataFrame, open_: DataFrame, n: int) -> DataFrame:
-    """(rep, size, grams) of the open classes, from one text each; rep is the first half of the set's digest."""
+    """(rep, size, grams) of the open classes, from one text each (more if rows repeat, which what follows allows for);
+    rep is the first half of the set's digest."""
     rows = joined(docs, open_.select("id", "a"), "id", "inner").select("a", "text")
 
     def make():
@@ -120,14 +121,15 @@ def full_sets(docs: DataFrame, open_: DataFrame, n: int) -> DataFrame:
 
         return step
 
-    return map_batches(rows, make, "rep long, size int, grams array<long>").dropDuplicates(["rep"])
+    return map_batches(rows, make, "rep long, size int, grams array<long>")
 
 
 def candidate_edges(sets: DataFrame, threshold: int) -> DataFrame:
     """(u, v): each class with the smallest class that shares one of its rarest n-grams."""
-    terms = sets.select("rep", "size", F.explode("grams").alias("g")).select("rep", "size", F.shiftright("g", 16).alias("t"))
+    terms = sets.select("rep", F.explode("grams").alias("g")).select("rep", F.shiftright("g", 16).alias("t"))
     common = terms.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    own = terms.join(common, "t").groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("shared"))
+    own = terms.join(common, "t").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("df", "t"))).alias("shared"))
+    own = own.join(sets.select("rep", "size").distinct(), "rep")
     # n-grams that no other class has come first in the order; of the others, so many as the prefix has room for
     room = lacking_column("size", threshold) + 1 - (F.col("size") - F.size("shared"))
     prefix = own.withColumn("room", room).filter("room > 0").select("rep", F.explode(F.slice("shared", F.lit(1), F.col("room").cast("int"))).alias("p")).select("rep", F.col("p.t").alias("t"))
@@ -236,7 +238,8 @@ def connected(rows: DataFrame, threshold: int) -> DataFrame:
 def links(sets: DataFrame, threshold: int, part: int = PART) -> DataFrame:
     """(node, root): the classes that have a partner, with the smallest of their component."""
     groups = checkpoint(components(candidate_edges(sets, threshold)))
-    members = sets.join(groups, sets["rep"] == groups["node"]).select(F.col("root").alias("grp"), "rep", "size", "grams")
+    release(sets.sparkSession)
+    members = joined(sets, groups.withColumnRenamed("node", "rep"), "rep", "inner").select(F.col("root").alias("grp"), "rep", "size", "grams")
     weight = groups.join(sets.select(F.col("rep").alias("node"), "size"), "node").groupBy("root").agg(F.sum("size").alias("w")).filter(F.col("w") > part)
     large = checkpoint(weight.select(F.col("root").alias("grp"), F.ceil(F.col("w") / part).cast("int").alias("parts")))
     if not large.head(1):
@@ -260,7 +263,11 @@ def classified(rows: DataFrame, n: int, threshold: int, part: int = PART) -> Dat
     """(id, size, a, class_id, component_id) for rows (id, text): ids from NO_ID up stand for none."""
     share = min(1.0, 1.6 * (100 - threshold) / 100)
     signed_ = checkpoint(signatures(rows, n, share))
-    sets = checkpoint(full_sets(rows, checkpoint(survivors(signed_, threshold)), n))
+    open_ = checkpoint(survivors(signed_, threshold))
+    signed_ = checkpoint(signed_.select("id", "size", "a", "b"))
+    release(rows.sparkSession)  # the shuffles behind open_, and the wider rows
+    sets = checkpoint(full_sets(rows, open_, n))
+    release(rows.sparkSession)
     linked = links(sets, threshold, part)
     classes = signed_.filter("size > 0").groupBy("a", "b").agg(F.min("id").alias("class_id"))
     named = classes.join(linked, classes["a"] == linked["node"]).select("node", "root", "class_id")
