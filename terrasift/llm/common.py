@@ -154,10 +154,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     place = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
     values = data[np.repeat(starts, lengths) + place].astype(U64) + U64(1)
-    far = place >> 6
     weights = PLACES[place & 63]
-    if far.any():
-        weights = mixed(weights + far.astype(U64)) | U64(1)
+    far = np.flatnonzero(place > 63)  # beyond the table, and nowhere else: a word's hash must not depend on its neighbours
+    if len(far):
+        weights[far] = mixed(weights[far] + (place[far] >> 6).astype(U64)) | U64(1)
     return mixed(np.add.reduceat(values * weights, first) + lengths.astype(U64))
 
 

@@ -363,3 +363,11 @@ def test_pipeline_keeps_columns(spark):
     out = c.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
     assert c.quality(spark, docs, sf).columns == docs.columns
+
+
+def test_word_hash_depends_on_the_word_alone():
+    from terrasift.llm.common import span_hashes
+
+    data = np.frombuffer(b"short " + b"y" * 300 + b" short", np.uint8)
+    h = span_hashes(data, np.array([0, 6, 307]), np.array([5, 306, 312]))
+    assert h[0] == h[2] == span_hashes(data, np.array([0]), np.array([5]))[0] != h[1]
