@@ -105,7 +105,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = 13, rare: int = 3, id
     """
     found, windows = occurrences(docs, items, width, rare, 0, item_column, text_column)
     found = checkpoint(found.join(windows.select("window_id", "window", "items"), "window_id").select("doc", "start", "size", "window", "items"))
-    some = small_enough(found, BROADCAST_ROWS // 10)
+    some = small_enough(found, BROADCAST_ROWS // 40)
     per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "window", "items")).alias("places"))
     t = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     own = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)] if keep else [F.col(id_column).alias("doc_id")]

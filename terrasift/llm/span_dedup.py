@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, LOWER_WORD, U64, byte_class, map_batches, mixed, slices, span_hashes, utf8, word_spans
+from .common import LOWER, LOWER_WORD, U64, byte_class, checkpoint, joined, map_batches, mixed, slices, span_hashes, utf8, word_spans
 from .jaccard_join import NO_ID
 
 _STOP, _SPACE = byte_class((33, 33), (46, 46), (63, 63)), byte_class((9, 13), (32, 32))
@@ -104,11 +104,13 @@ def span_rows(rows: DataFrame, sentences: int, words: int) -> DataFrame:
 def repeats(found: DataFrame) -> DataFrame:
     """(id, gone: pairs of hash and first sentence): the occurrences of repeated spans other than the first.
 
-    Counts are gathered before the shuffle, and occurrences meet one row for each hash, which a join can split.
+    Counts are gathered before the shuffle. The repeated hashes, one row each, are written down first: if they are few they
+    are broadcast, and otherwise both sides of the join are plain exchanges, so that Spark can split a hash that is very
+    common.
     """
     place = F.struct("id", "s")
     many = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h", "first")
-    later = found.join(many, "h").filter(F.struct("id", "s") != F.col("first"))
+    later = joined(found, checkpoint(many), "h", "inner").filter(F.struct("id", "s") != F.col("first"))
     return later.groupBy("id").agg(F.collect_list(F.struct("h", "s")).alias("gone"))
 
 
@@ -170,6 +172,6 @@ def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS,
     key = F.coalesce(F.col(f"c{names.index(id_column)}").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 60)))
     rows = keyed.withColumn("id", key).withColumn("text", text)
     gone = repeats(span_rows(rows, sentences, words))
-    joined = rows.join(gone, "id", "left").select(*[f"c{k}" for k in range(len(names)) if names[k] != text_column], "text", "gone")
-    out = remove(joined, sentences, words)
+    both = rows.join(gone, "id", "left").select(*[f"c{k}" for k in range(len(names)) if names[k] != text_column], "text", "gone")
+    out = remove(both, sentences, words)
     return out.select(*[F.col("text" if c == text_column else f"c{k}").alias(c) for k, c in enumerate(names)], "n_sentences", "n_removed")
