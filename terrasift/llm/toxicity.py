@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import LOWER, LOWER_WORD, U64, byte_class, map_batches, mixed, slices, span_hashes, utf8, word_spans
+from .common import LOWER, LOWER_WORD, U64, byte_class, checkpoint, list_array, map_batches, mixed, slices, span_hashes, utf8, word_spans
 from .sampling import labelled_sample
 
 #: Features that a model may have; the best supported stay.
@@ -137,12 +137,13 @@ def train(places_: np.ndarray, begin: np.ndarray, y: np.ndarray, keys: np.ndarra
     return Model(keys, weights[1:].astype(np.float64), float(bias[0]), moves)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", toxic: int = 2000, clean: int = 6000, support: int = 6, odds: float = 20.0) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", toxic: int = 2000, clean: int = 6000, support: int = 6, odds: float = 20.0, chains: int = 600) -> Model | None:
     """Learns from about `toxic` and `clean` labelled texts; None if either label has none.
 
-    First pass: the sets of features of sampled texts, counted once for each smallest feature hash, which near copies
-    share. Features of at least `support` toxic groups that are `odds` times likelier there mark toxic tokens. Second
-    pass: the chains of the toxic texts and as many clean ones. Both come to the driver; the sample bounds them.
+    First pass: the sets of features of sampled texts, counted by Spark once for each smallest feature hash, which near
+    copies share. Features of at least `support` toxic groups that are `odds` times likelier there mark toxic tokens; the
+    driver gets VOCABULARY features at most. Second pass: the chains of about `chains` toxic and as many clean texts come
+    to the driver, which fits the weights to them.
     """
     sample = labelled_sample(docs, labels, label_column, {0: clean, 1: toxic}, id_column, text_column).select("text", "label")
 
@@ -155,32 +156,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
                 for p, q in zip(first[:-1], first[1:], strict=True):
                     own = np.unique(features[p:q])
                     own = own[own > 0]
-                    sets.append(own.tobytes())
+                    sets.append(own.view(np.int64))
                     groups.append(int(mixed(own + U64(99)).min() >> U64(1)) if len(own) else 0)
-            return pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(groups, pa.int64()), batch.column(1)], names=["features", "grp", "label"])
+            at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            return pa.RecordBatch.from_arrays([list_array(np.concatenate(sets), at, pa.int64()), pa.array(groups, pa.int64()), batch.column(1)], names=["features", "grp", "label"])
 
         return step
 
-    groups: dict[tuple[int, int], np.ndarray] = {}
-    for f, g, y in sorted((bytes(r[0]), r[1], int(r[2])) for r in map_batches(sample, make_sets, "features binary, grp long, label double").collect()):
-        groups.setdefault((y, g), np.frombuffer(f, U64))
-    own = {y: [f for (label, _), f in groups.items() if label == y] for y in (0, 1)}
-    if not own[0] or not own[1]:
+    groups = checkpoint(map_batches(sample, make_sets, "features array<long>, grp long, label double").dropDuplicates(["label", "grp"]))
+    size = {int(r[0]): r[1] for r in groups.groupBy("label").count().collect()}  # two rows
+    if not size.get(0) or not size.get(1):
         return None
-    count = {}
-    for y in (0, 1):
-        count[y] = np.unique(np.concatenate(own[y]), return_counts=True)
-    keys = np.union1d(count[0][0], count[1][0])
-    n = np.zeros((2, len(keys)))
-    for y in (0, 1):
-        n[y, np.searchsorted(keys, count[y][0])] = count[y][1]
-    ratio = ((n[1] + 0.5) / (len(own[1]) + 1)) / ((n[0] + 0.5) / (len(own[0]) + 1))
-    marks = keys[(n[1] >= support) & (ratio >= odds)]
-    stay = (n.sum(0) >= support) | np.isin(keys, marks)
-    if stay.sum() > VOCABULARY:
-        least = np.sort(n.sum(0)[stay])[-VOCABULARY]
-        stay &= (n.sum(0) > least) | np.isin(keys, marks)
-    keys = keys[stay]
+    counts = groups.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.sum(1 - F.col("label")).alias("n0"), F.sum("label").alias("n1"))
+    best = counts.filter(F.col("n0") + F.col("n1") >= support)
+    ratio = ((F.col("n1") + 0.5) / (size[1] + 1)) / ((F.col("n0") + 0.5) / (size[0] + 1))
+    hot = (F.col("n1") >= support) & (ratio >= odds)
+    got = best.withColumn("hot", hot).orderBy(F.desc("hot"), F.desc(F.col("n0") + F.col("n1")), "f").limit(VOCABULARY).select("f", "hot").toArrow()
+    keys, hot_keys = got["f"].to_numpy().view(U64), got["hot"].to_numpy()
+    marks = np.sort(keys[hot_keys])
+    keys = np.sort(keys)
     bound = docs.sparkSession.sparkContext.broadcast((keys, marks))
 
     def make_chains():
@@ -200,9 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
         return step
 
-    share = F.pmod(F.xxhash64("text"), F.lit(1000)) < int(1000 * min(1.0, toxic / max(1, clean)))
-    rows = sorted(bytes(r[0]) for r in map_batches(sample.filter((F.col("label") > 0) | share), make_chains, "chain binary").collect())
-    all_ = np.concatenate([np.frombuffer(r, "<i4").reshape(-1, len(_KINDS) + 2) for r in rows])
+    draw = F.pmod(F.xxhash64("text"), F.lit(10_000)) / 10_000.0
+    share = F.when(F.col("label") > 0, chains / max(1, toxic)).otherwise(chains / max(1, clean))
+    rows = map_batches(sample.filter(draw < share), make_chains, "chain binary").toArrow()["chain"]
+    order = sorted(x.as_py() for x in rows)
+    all_ = np.concatenate([np.frombuffer(r, "<i4").reshape(-1, len(_KINDS) + 2) for r in order] or [np.zeros((0, len(_KINDS) + 2), "<i4")])
+    if not len(all_):
+        return None
     return train(all_[:, : len(_KINDS)].astype(np.int64), all_[:, -2].astype(bool), all_[:, -1].astype(np.int64), keys)
 
 
