@@ -3,16 +3,21 @@
 Every document becomes token ids and an end id. Only documents longer than a sequence are cut, into full pieces behind a
 first piece that may be shorter, so at most `capacity` different sizes exist. The search runs on how often each size
 occurs: a table of at most `capacity` rows, whatever the number of documents. Around the largest size left it enumerates
-the fillings that no other filling dominates, least waste first, applies one as often as the counts allow, prunes where
-the waste so far shows that the incumbent can't be beaten, and falls back on the best-fit solution it began with. The
-plan is then dealt to the pieces by their number within their size, which is found in salted parts.
+the fillings that no other filling dominates, of any number of members and least waste first, applies one as often as the
+counts allow (on the way back less often), prunes where the waste so far shows that the incumbent can't be beaten, and
+falls back on the best packing found after NODES steps, the only limit of the search. Its first packings are best-fit's and
+that of a search over a few fillings. The plan is then dealt to the pieces by their number within their size, which is
+found in salted parts.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -235,11 +240,71 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return out
 
 
-def fillings(left: np.ndarray, largest: int, capacity: int, most: int = 12) -> list[tuple[int, list[int]]]:
-    """Undominated fillings of the room beside the largest size, least waste first, as (waste, sizes).
+@lru_cache(maxsize=64)
+def reachable(counts: bytes) -> tuple[list[int], list[int]]:
+    """Sizes that occur, largest first, and for each place in them the sums up to the room (bits) that the sizes from it on give.
 
-    A single size that fills the room dominates all else. Of single sizes only the largest counts, of pairs those in which
-    neither member could grow; larger sets come from completing the larger sizes by the pair rule.
+    counts are the bytes of an int64 array by size, up to the room.
+    """
+    left = np.frombuffer(counts, np.int64)
+    room = len(left) - 1
+    sizes = np.flatnonzero(left)[::-1].tolist()
+    every = (1 << (room + 1)) - 1
+    sums = [1]
+    for size in sizes[::-1]:
+        bits, most, step = sums[-1], min(int(left[size]), room // size), 1
+        while most:
+            step = min(step, most)
+            bits |= (bits << (size * step)) & every
+            most -= step
+            step *= 2
+        sums.append(bits if bits != sums[-1] else sums[-1])  # equal sums share one number
+    return sizes, sums[::-1]
+
+
+def fillings(left: np.ndarray, largest: int, capacity: int) -> Iterator[tuple[int, list[int]]]:
+    """Every filling of the room beside the largest size that may be undominated, least waste first, as (waste, sizes).
+
+    A filling of no more tokens than the largest single size is dominated by that size, which therefore comes last; every
+    other is given, whatever its number of members, larger sizes first among equal waste. They are found one by one, from
+    a table of the sums that the sizes reach; the table is built anew if it is needed after others have taken its place.
+    """
+    room = capacity - largest
+    sizes = np.flatnonzero(left[: room + 1])
+    if not room or not sizes.size:
+        yield room, []
+        return
+    single = int(sizes[-1])
+    if single < room:
+        counts = np.minimum(left[: room + 1], room).tobytes()
+
+        def sets(total: int, first: int) -> Iterator[list[int]]:
+            if not total:
+                yield []
+                return
+            order, sums = reachable(counts)
+            place = bisect_left(order, -total, lo=first, key=lambda v: -v)
+            while place < len(order) and reachable(counts)[1][place] >> total & 1:
+                size = order[place]
+                for n in range(min(int(left[size]), total // size), 0, -1):
+                    if reachable(counts)[1][place + 1] >> (total - n * size) & 1:
+                        for tail in sets(total - n * size, place + 1):
+                            yield [size] * n + tail
+                place += 1
+
+        sums = reachable(counts)[1][0]
+        for total in range(room, single, -1):
+            if sums >> total & 1:
+                for found in sets(total, 0):
+                    yield room - total, found
+    yield room - single, [single]
+
+
+def few_fillings(left: np.ndarray, largest: int, capacity: int, most: int = 12) -> list[tuple[int, list[int]]]:
+    """Some fillings of the room beside the largest size, least waste first, as (waste, sizes): for incumbents only.
+
+    Of single sizes the largest, of pairs those in which neither member could grow, some larger sets by completing the
+    larger sizes by the pair rule. They seldom break up many small sizes, so a first descent along them is often good.
     """
     room = capacity - largest
     sizes = np.flatnonzero(left[: room + 1])
@@ -288,44 +353,62 @@ def fillings(left: np.ndarray, largest: int, capacity: int, most: int = 12) -> l
 
 
 def complete(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]:
-    """The packing: bin completion with branch and bound over counts, best-fit solutions as incumbents."""
-    incumbent = best_fit(counts, capacity)
+    """The packing: best-fit's, improved by a search over a few fillings, then by the one over all, each of `nodes` steps at most."""
+    quick = search(counts, capacity, nodes, best_fit(counts, capacity), lambda *a: iter(few_fillings(*a)))
+    return search(counts, capacity, nodes, quick, fillings)
+
+
+def search(counts: np.ndarray, capacity: int, nodes: int, incumbent: list[Pattern], fillings: Callable[[np.ndarray, int, int], Iterator[tuple[int, list[int]]]]) -> list[Pattern]:
+    """Bin completion with branch and bound over counts: the incumbent, or a packing of fewer sequences.
+
+    A filling is tried as often as the counts allow, then the other fillings, then the same one less often; only `nodes`
+    limits the search of what `fillings` gives, least waste first.
+    """
     bins = sum(p.times for p in incumbent)
     total, least = int((counts * np.arange(len(counts))).sum()), lower_bound(counts, capacity)
     steps = 0
-    stack: list[tuple[np.ndarray, list[Pattern], int, int, list[tuple[int, list[int]]] | None, int]] = [(counts.copy(), [], 0, 0, None, 0)]
+    Again = tuple[int, dict[int, int], int]  # a filling's waste, its counts by size, and how often it is used
+    stack: list[tuple[np.ndarray, list[Pattern], int, int, Iterator[tuple[int, list[int]]] | None, Again | None]] = [(counts.copy(), [], 0, 0, None, None)]
     while stack and bins > least and steps < nodes:
-        left, plan, used, waste, options, k = stack.pop()
-        present = np.flatnonzero(left)
-        if not present.size:
-            if used < bins:
-                incumbent, bins = plan, used
-            continue
-        largest = int(present[-1])
-        if options is None:
-            left[largest] -= 1
-            options = fillings(left, largest, capacity)
-            left[largest] += 1
-            tail = best_fit(left, capacity) if steps % 512 == 511 else None
-            if tail is not None and used + sum(p.times for p in tail) < bins:
-                incumbent, bins = plan + tail, used + sum(p.times for p in tail)
-        if k + 1 < len(options):
-            stack.append((left, plan, used, waste, options, k + 1))
-        steps += 1
-        lost, sizes = options[k]
-        need: dict[int, int] = {largest: 1}
-        for s in sizes:
-            need[s] = need.get(s, 0) + 1
-        times = min(int(left[s]) // n for s, n in need.items())
+        left, plan, used, waste, options, again = stack.pop()
         spare = (bins - 1) * capacity - total - waste  # waste that a better packing may still have
+        if again is None:
+            present = np.flatnonzero(left)
+            if not present.size:
+                if used < bins:
+                    incumbent, bins = plan, used
+                continue
+            largest = int(present[-1])
+            if options is None:
+                beside = left.copy()
+                beside[largest] -= 1
+                options = fillings(beside, largest, capacity)
+                tail = best_fit(left, capacity) if steps % 512 == 511 else None
+                if tail is not None and used + sum(p.times for p in tail) < bins:
+                    incumbent, bins = plan + tail, used + sum(p.times for p in tail)
+            steps += 1
+            if (option := next(options, None)) is None or option[0] > spare:
+                continue  # fillings after it waste no less
+            lost, sizes = option
+            need: dict[int, int] = {largest: 1}
+            for s in sizes:
+                need[s] = need.get(s, 0) + 1
+            times = min(int(left[s]) // n for s, n in need.items())
+        else:
+            lost, need, times = again
+            steps += 1
         if lost and lost * times > spare:
             times = int(spare // lost)
         if times < 1:
             continue
+        if times > 1:
+            stack.append((left, plan, used, waste, None, (lost, need, times - 1)))
+        if again is None:
+            stack.append((left, plan, used, waste, options, None))
         rest = left.copy()
         for s, n in need.items():
             rest[s] -= n * times
-        stack.append((rest, [*plan, Pattern(sorted(need.items(), reverse=True), times)], used + times, waste + lost * times, None, 0))
+        stack.append((rest, [*plan, Pattern(sorted(need.items(), reverse=True), times)], used + times, waste + lost * times, None, None))
     return incumbent
 
 

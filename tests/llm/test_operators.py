@@ -85,6 +85,25 @@ def test_bin_completion_beats_or_equals_best_fit():
         assert (back == counts).all()
 
 
+def test_packing_finds_fillings_of_many_members():
+    from terrasift.llm.packing import complete, fillings, lower_bound
+
+    counts = np.zeros(2049, np.int64)
+    counts[500], counts[387] = 1000, 4000  # 500 + 4 x 387 = 2048
+    assert sum(p.times for p in complete(counts, 2048)) == lower_bound(counts, 2048) == 1000
+    for seed in range(40):
+        r = random.Random(seed)
+        left = np.bincount([r.randint(1, 25) for _ in range(r.randint(1, 9))], minlength=41)
+        room = r.randint(1, 30)
+        sums = {()}
+        for s in np.repeat(np.arange(41), left).tolist():
+            sums |= {(*x, s) for x in sums if sum(x) + s <= room}
+        big = max((sum(x) for x in sums if len(x) == 1), default=0)
+        want = sorted((room - sum(x), x) for x in sums if sum(x) > big or x == ((big,) if big else ()))
+        got = [(w, tuple(sorted(x))) for w, x in fillings(left, 40 - room, 40)]
+        assert sorted(got) == want and [w for w, _ in got] == sorted(w for w, _ in got)
+
+
 def test_sharding(docs, none, spark):
     from terrasift.llm.sharding import Tree, shard
 
