@@ -105,8 +105,8 @@ def lacking_column(size: str, threshold: int):
 
 
 def full_sets(docs: DataFrame, open_: DataFrame, n: int) -> DataFrame:
-    """(rep, size, grams) of the open classes, from one text each (more if rows repeat, which what follows allows for);
-    rep is the first half of the set's digest."""
+    """(rep, size, grams) of the open classes, from one text each (once per row if rows repeat); rep is the first half of the
+    set's digest."""
     rows = joined(docs, open_.select("id", "a"), "id", "inner").select("a", "text")
 
     def make():
@@ -124,6 +124,13 @@ def full_sets(docs: DataFrame, open_: DataFrame, n: int) -> DataFrame:
     return map_batches(rows, make, "rep long, size int, grams array<long>")
 
 
+def once(sets: DataFrame) -> DataFrame:
+    """sets, already materialised, with one row for each rep; the n-grams move only if rows repeat."""
+    if not sets.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").head(1):
+        return sets
+    return checkpoint(sets.dropDuplicates(["rep"]))
+
+
 def candidate_edges(sets: DataFrame, threshold: int) -> DataFrame:
     """(u, v): each class with the smallest class that shares one of its rarest n-grams."""
     terms = sets.select("rep", F.explode("grams").alias("g")).select("rep", F.shiftright("g", 16).alias("t"))
@@ -236,7 +243,7 @@ def connected(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def links(sets: DataFrame, threshold: int, part: int = PART) -> DataFrame:
-    """(node, root): the classes that have a partner, with the smallest of their component."""
+    """(node, root): the classes that have a partner, each once, with the smallest of their component; sets has each rep once."""
     groups = checkpoint(components(candidate_edges(sets, threshold)))
     release(sets.sparkSession)
     members = joined(sets, groups.withColumnRenamed("node", "rep"), "rep", "inner").select(F.col("root").alias("grp"), "rep", "size", "grams")
@@ -244,7 +251,7 @@ def links(sets: DataFrame, threshold: int, part: int = PART) -> DataFrame:
     large = checkpoint(weight.select(F.col("root").alias("grp"), F.ceil(F.col("w") / part).cast("int").alias("parts")))
     if not large.head(1):
         stars = checkpoint(connected(members.select("grp", "rep", "grams"), threshold))
-        return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
     split = members.join(large, "grp", "left")
     own = F.pmod(F.xxhash64("rep"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("grp", F.least(k, own), F.greatest(k, own)))
@@ -266,7 +273,7 @@ def classified(rows: DataFrame, n: int, threshold: int, part: int = PART) -> Dat
     open_ = checkpoint(survivors(signed_, threshold))
     signed_ = checkpoint(signed_.select("id", "size", "a", "b"))
     release(rows.sparkSession)  # the shuffles behind open_, and the wider rows
-    sets = checkpoint(full_sets(rows, open_, n))
+    sets = once(checkpoint(full_sets(rows, open_, n)))
     release(rows.sparkSession)
     linked = links(sets, threshold, part)
     classes = signed_.filter("size > 0").groupBy("a", "b").agg(F.min("id").alias("class_id"))

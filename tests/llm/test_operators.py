@@ -188,6 +188,16 @@ def test_jaccard(spark, docs, none, n, threshold, part):
     assert jaccard_join(none, n, threshold).count() == 0
 
 
+@pytest.mark.parametrize("part", [2_000_000, 300])
+def test_jaccard_repeated_rows_of_linked_texts(spark, part):
+    from terrasift.llm.jaccard_join import jaccard_join
+
+    text = prose(600, 150)
+    data = [(i, t) for i, t in [(1, text), (2, text.rsplit(" ", 1)[0]), (None, text.rsplit(" ", 2)[0])] for _ in range(3)]
+    got = jaccard_join(spark.createDataFrame(data, "doc_id long, text string"), 5, 80, part=part).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1)] * 3 + [(1, 1)] * 3 + [(2, 1)] * 3
+
+
 def test_one_of_each(docs):
     from terrasift.llm.jaccard_join import one_of_each
 
