@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, joined
 
 #: Ids that share a file; with distinct ids a bound on its records.
 FILE_IDS = 1024
+#: Records up to which one task numbers a file.
+FILE_ROWS = 4096
 FANOUT = 16
 #: Date of every record, so that the same pages give the same bytes.
 DATE = "1970-01-01T00:00:00Z"
@@ -31,20 +33,46 @@ def record_bytes(page_id: Column, url: Column, body: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def records(pages: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
+def numbered_by_range(rows: DataFrame) -> DataFrame:
+    """Adds number and offset to rows (file, page_id, digest, length) as a window over each file would, by ranges of the order.
+
+    Equal rows are told apart by where they come from, so that ranges part them too; which of them is first makes no difference.
+    """
+    order = ["file", "page_id", "digest", "_tie"]
+    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order)
+    dealt = checkpoint(dealt.withColumn("_part", F.spark_partition_id()))
+    # one row for each file and range
+    before = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("file", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("length").alias("_bytes"))
+    parts = parts.select("file", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes"))
+    within = Window.partitionBy("file", "_part").orderBy("page_id", "digest", "_tie")
+    earlier = F.coalesce(F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = dealt.withColumn("number", (F.row_number().over(within) - 1).cast("long")).withColumn("offset", earlier)
+    ranked = ranked.join(parts, ["file", "_part"])
+    return ranked.withColumn("number", F.col("number") + F.col("_n")).withColumn("offset", F.col("offset") + F.col("_bytes")).drop("_n", "_bytes", "_part", "_tie")
+
+
+def records(pages: DataFrame, file_ids: int = FILE_IDS, file_rows: int = FILE_ROWS) -> DataFrame:
     """page_id, file, number, offset, length, record (bytes): the pages as WARC files.
 
     File f holds ids f * file_ids to (f + 1) * file_ids - 1 in order; null ids are spread over negative files by their
-    content. Null urls and bodies are empty. Rows with the same id follow one another, ordered by url and content.
+    content. Null urls and bodies are empty. Rows with the same id follow one another, ordered by url and content. A file of
+    more than file_rows records, where ids repeat, is numbered by ranges of its order instead of in one task.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
     lost = -1 - F.pmod(F.xxhash64("url", "body"), F.lit(1 << 20))
     rows = rows.select("page_id", F.coalesce(F.floor(F.col("page_id") / F.lit(file_ids)).cast("long"), lost).alias("file"), record_bytes(F.col("page_id"), F.col("url"), F.col("body")).alias("record"))
     rows = rows.withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", F.sha2("record", 256))
+    large = checkpoint(rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > file_rows).select("file"))
+    some = bool(large.head(1))
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("number"), before.alias("offset"), "length", "record")
+    small = joined(rows, large, "file", "left_anti") if some else rows
+    out = small.withColumn("number", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", before)
+    if some:
+        out = out.unionByName(numbered_by_range(joined(rows, large, "file", "left_semi")))
+    return out.select("page_id", "file", "number", "offset", "length", "record")
 
 
 def leaves(stored: DataFrame) -> DataFrame:
@@ -70,10 +98,11 @@ def audit(good: DataFrame, other: DataFrame, fanout: int = FANOUT, file_ids: int
     status: intact, corrupt, missing (from other) or extra (in other); nodes_checked: the levels below the root that the
     audit went down for it. good_root and other_root are those of its file (null where the replica lacks the file).
     """
+    a, b = checkpoint(leaves(good)), checkpoint(leaves(other))
+    last = a.select("number").unionByName(b.select("number")).agg(F.max("number")).first()[0]
     height = 1
-    while fanout**height < file_ids:
+    while fanout**height < max(file_ids, (last or 0) + 1):  # one top node for the largest file, too
         height += 1
-    a, b = checkpoint(leaves(good)), checkpoint(leaves(other))
     ours, theirs = levels(a, height, fanout), levels(b, height, fanout)
     differs = None
     for depth in range(height, -1, -1):

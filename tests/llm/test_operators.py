@@ -141,6 +141,28 @@ def test_fixity(spark):
     assert audit(stored.limit(0), stored.limit(0)).count() == 0
 
 
+def test_fixity_of_files_with_repeated_ids(spark):
+    from terrasift.llm.fixity import audit, records, rotted
+
+    same = spark.range(5000).select(F.lit(7).cast("long").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("t"), F.col("id") % 4700).alias("html"))
+    null = spark.range(5000).select(F.lit(None).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit("same").alias("html"))
+    few = spark.range(3).select((F.col("id") + 6).alias("page_id"), F.lit("u").alias("url"), F.lit("few").alias("html"))
+    stored = records(same.unionByName(null).unionByName(few)).persist()
+    files = {}
+    for r in stored.collect():
+        files.setdefault(r.file, []).append((r.number, r.offset, r.length, r.page_id or 0, hashlib.sha256(r.record).hexdigest()))
+    assert sorted(map(len, files.values())) == [5000, 5003]
+    for rs in files.values():
+        rs.sort()
+        assert [r[0] for r in rs] == list(range(len(rs)))
+        assert [r[1] for r in rs] == [0, *np.cumsum([r[2] for r in rs])[:-1].tolist()]
+        assert [r[3:] for r in rs] == sorted(r[3:] for r in rs)
+    got = audit(stored, rotted(stored)).collect()
+    assert len(got) == 10003 and len({(r.file, r.number) for r in got}) == 10003
+    assert len({(r.file, r.good_root, r.other_root) for r in got}) == 2
+    assert sum(r.status == "corrupt" for r in got) == 5001 and {r.page_id for r in got if r.status == "corrupt"} == {7}
+
+
 def test_media(docs, none):
     from terrasift.llm.media import chunked_media, chunks, cuts, wav
 
