@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import LOWER, LOWER_WORD, U64, byte_class, checkpoint, list_array, map_batches, mixed, slices, span_hashes, utf8, word_spans
+from .jaccard_join import classified
 from .sampling import labelled_sample
 
 #: Features that a model may have; the best supported stay.
@@ -140,30 +141,33 @@ def train(places_: np.ndarray, begin: np.ndarray, y: np.ndarray, keys: np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", toxic: int = 2000, clean: int = 6000, support: int = 6, odds: float = 20.0, chains: int = 600) -> Model | None:
     """Learns from about `toxic` and `clean` labelled texts; None if either label has none.
 
-    First pass: the sets of features of sampled texts, counted by Spark once for each smallest feature hash, which near
-    copies share. Features of at least `support` toxic groups that are `odds` times likelier there mark toxic tokens; the
-    driver gets VOCABULARY features at most. Second pass: the chains of about `chains` toxic and as many clean texts come
+    First pass: the sets of features of sampled texts, counted by Spark once for each component of near copies (three words,
+    0.8, as op6 links them) and label. Features of at least `support` toxic groups that are `odds` times likelier there mark toxic tokens; the
+    driver gets VOCABULARY features at most. Second pass: the chains of about `chains` toxic and as many clean texts (all of a label that has no more in the sample) come
     to the driver, which fits the weights to them.
     """
-    sample = labelled_sample(docs, labels, label_column, {0: clean, 1: toxic}, id_column, text_column).select("text", "label")
+    sample = labelled_sample(docs, labels, label_column, {0: clean, 1: toxic}, id_column, text_column)
+    sample = checkpoint(sample.select(F.pmod(F.xxhash64("text"), F.lit(1 << 61)).alias("id"), "text", "label"))
 
     def make_sets():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, at = utf8(batch.column(0))
-            sets, groups = [], []
+            sets = []
             for a, b in slices(at):
                 _, _, first, features, _ = tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
                 for p, q in zip(first[:-1], first[1:], strict=True):
                     own = np.unique(features[p:q])
                     own = own[own > 0]
                     sets.append(own.view(np.int64))
-                    groups.append(int(mixed(own + U64(99)).min() >> U64(1)) if len(own) else 0)
             at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
-            return pa.RecordBatch.from_arrays([list_array(np.concatenate(sets), at, pa.int64()), pa.array(groups, pa.int64()), batch.column(1)], names=["features", "grp", "label"])
+            return pa.RecordBatch.from_arrays([list_array(np.concatenate(sets), at, pa.int64()), batch.column(1)], names=["features", "label"])
 
         return step
 
-    groups = checkpoint(map_batches(sample, make_sets, "features array<long>, grp long, label double").dropDuplicates(["label", "grp"]))
+    near = classified(sample.select("id", "text"), 3, 80).select("id", F.col("component_id").alias("grp")).distinct()
+    least = sample.select("label", "id").join(near, "id").groupBy("label", "grp").agg(F.min("id").alias("id"))
+    kept = sample.join(least.select("label", "id"), ["label", "id"], "left_semi").dropDuplicates(["label", "id"]).select("text", "label")
+    groups = checkpoint(map_batches(kept, make_sets, "features array<long>, label double"))
     size = {int(r[0]): r[1] for r in groups.groupBy("label").count().collect()}  # two rows
     if not size.get(0) or not size.get(1):
         return None
@@ -195,8 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         return step
 
     draw = F.pmod(F.xxhash64("text"), F.lit(10_000)) / 10_000.0
-    share = F.when(F.col("label") > 0, chains / max(1, toxic)).otherwise(chains / max(1, clean))
-    rows = map_batches(sample.filter(draw < share), make_chains, "chain binary").toArrow()["chain"]
+    drawn = {int(r[0]): r[1] for r in sample.groupBy("label").count().collect()}  # two rows
+    share = F.when(F.col("label") > 0, min(1.0, chains / drawn[1])).otherwise(min(1.0, chains / drawn[0]))
+    rows = map_batches(sample.filter(draw < share).select("text", "label"), make_chains, "chain binary").toArrow()["chain"]
     order = sorted(x.as_py() for x in rows)
     all_ = np.concatenate([np.frombuffer(r, "<i4").reshape(-1, len(_KINDS) + 2) for r in order] or [np.zeros((0, len(_KINDS) + 2), "<i4")])
     if not len(all_):

@@ -377,6 +377,24 @@ def test_quality_and_toxicity(spark, docs, none):
         assert m.fit(none, marks) is None and m.score(docs, None).count() == len(rows())
 
 
+def test_toxicity_learns_from_every_text_of_a_small_sample(spark, monkeypatch):
+    from terrasift.llm import toxicity
+
+    def least(word):
+        data = word.encode()
+        _, _, _, features, _ = toxicity.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        own = np.unique(features)
+        return int(toxicity.mixed(own[own > 0] + np.uint64(99)).min())
+
+    common = min((f"q{k}z" for k in range(3000)), key=least)  # unlike texts with this word share their smallest hash
+    r = random.Random(7)
+    data = [(k, " ".join([common, *r.sample(WORDS, 30), *(["vilest"] if k % 2 else [])])) for k in range(80)]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda places_, begin, y, keys: seen.append((len(y), int(y.sum()))))
+    toxicity.fit(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int"))
+    assert seen == [(40 * 31 + 40 * 32, 40)]
+
+
 def test_chain_marginals_by_enumeration():
     from itertools import product
 
