@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,20 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import checkpoint_dir, saved
+
 U64 = np.uint64
 #: Bytes of text that one vectorised step takes at most (a longer text is one step of its own).
 SLICE_BYTES = 1 << 20
-#: Rows and bytes up to which a side may be broadcast; beyond it callers shuffle.
-BROADCAST_ROWS = 2_000_000
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrasift-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+#: Bytes up to which a side may be broadcast, by its counted rows and the bytes of one; beyond it callers shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Bits of a bloom filter of keys: at least 8 for each key, and so many (32 MB) at most.
+BLOOM_BITS = 1 << 28
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -33,8 +27,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     The files go when the last DataFrame built on them goes, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    out = saved(df)
     release(df.sparkSession)
     return out
 
@@ -45,14 +38,50 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df, already materialised, has few enough rows to be broadcast."""
-    return df.count() <= rows
+def small_enough(df: DataFrame, row_bytes: int) -> bool:
+    """Whether df, already materialised and of about so many bytes a row, is small enough to be broadcast."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
 
 
-def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int = 40) -> DataFrame:
     """Joins with right broadcast if its checked size allows, by a shuffle otherwise."""
-    return left.join(F.broadcast(right) if small_enough(right, rows) else right, on, how)
+    return left.join(F.broadcast(right) if small_enough(right, row_bytes) else right, on, how)
+
+
+def parted(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df's rows whose key may be among keys (already materialised), and those whose key isn't; together they are all.
+
+    A bloom filter of BLOOM_BITS at most is broadcast, however many keys there are, so that wide rows need not be
+    shuffled only to find that they have no partner. df is read twice and must give the same rows each time.
+    """
+    bits = 1 << 18
+    while bits < min(8 * keys.count(), BLOOM_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64(*on), F.lit(bits)) + 1
+    one = keys.select(place.alias("h")).select(F.bitmap_bucket_number("h").alias("_bucket"), F.bitmap_bit_position("h").alias("_bit"))
+    table = checkpoint(one.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))  # bits / 32768 rows of 4 KB
+    at = df.withColumn("_h", place).withColumn("_bucket", F.bitmap_bucket_number("_h")).withColumn("_bit", F.bitmap_bit_position("_h").cast("int"))
+    at = at.join(F.broadcast(table), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    at = at.withColumn("_maybe", F.coalesce(F.getbit(byte, F.col("_bit") % 8) == 1, F.lit(False)))
+    return at.filter("_maybe").select(*df.columns), at.filter("NOT _maybe").select(*df.columns)
+
+
+def picked(df: DataFrame, keys: DataFrame, on: list[str], row_bytes: int) -> DataFrame:
+    """The inner join of df with keys (already materialised): broadcast if small, else behind a bloom filter and a shuffle."""
+    if small_enough(keys, row_bytes):
+        return df.join(F.broadcast(keys), on)
+    return parted(df, keys, on)[0].join(keys, on)
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... by place, so that no name clashes or needs quoting."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def at_column(df: DataFrame, name: str) -> Column:
+    """The column of `positional(df)` that df calls name; the first of several."""
+    return F.col(f"c{df.columns.index(name)}")
 
 
 def id_remainder(name: str, by: int) -> Column:
