@@ -12,18 +12,16 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of edges (u, v) of longs: each node that has an edge, with the smallest node of its component.
 
     A star moves a node's larger neighbours to its smallest; the number of rounds grows with the logarithm of the longest
-    path. Each step joins edges with one row for each node, so a node of many edges is split by the join, never collected.
+    path, and the last one changes nothing. Each step joins edges with one row for each node, so a node of many edges is split by the join, never collected.
     No edges: no rows.
     """
     edges = checkpoint(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = _fingerprint(edges)
-    for _ in range(rounds):
-        if not last[0]:
-            break
+    while last[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
         return step
 
-    near = classified(sample.select("id", "text"), 3, 80).select("id", F.col("component_id").alias("grp")).distinct()
+    near = classified(sample.select(F.lit(False).alias("nul"), "id", F.col("id").alias("th"), "text"), 3, 80).select("id", F.col("component.id").alias("grp")).distinct()
     least = sample.select("label", "id").join(near, "id").groupBy("label", "grp").agg(F.min("id").alias("id"))
     kept = sample.join(least.select("label", "id"), ["label", "id"], "left_semi").dropDuplicates(["label", "id"]).select("text", "label")
     groups = checkpoint(map_batches(kept, make_sets, "features array<long>, label double"))
