@@ -42,7 +42,7 @@ def transition(edges: DataFrame, features: DataFrame, cost: float = 1.0, seclusi
 
 def step(p: DataFrame, matrix: DataFrame) -> DataFrame:
     """One move of the mass along the matrix. Rows of the matrix add up to 1, so the mass stays but for rounding; callers
-    normalise the states that they report, which keeps the plan of many steps linear."""
+    normalise the states that they report, which keeps the plan of many steps linear. Spark broadcasts a state that is small."""
     return p.join(matrix, p["cell_id"] == matrix["src"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("w")).alias("p")).withColumnRenamed("dst", "cell_id")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import haversine
+from ..storage import saved
 
 
 def cells(lat: Column, lon: Column, size_lat: float, size_lon: float) -> tuple[Column, Column]:
@@ -46,15 +47,44 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def grid_knn(grid: DataFrame, k: int, reach: int) -> DataFrame:
-    """(src, dst, dist): the k nearest other cells of a regular grid (cell_id, ix, iy, lon, lat), in degrees.
+def nearest(left: DataFrame, right: DataFrame, key: str, k: int, reach: float, order: list[Column], join, most: float = 1e6) -> DataFrame:
+    """The k nearest right rows of each left row, ranked by order: pairs of join(left, right, reach), the reach doubled for rows
+    that have found fewer than k until none is left, the reach is past `most`, or a doubling brings no new row at all.
 
-    Neighbours come from a stencil of `reach` cells each way by an equi-join on cell indices; ties go to the lower cell_id.
+    Each round is a join on cells as wide as the reach, so few rows go on to wide ones. key: left's id in the pairs.
     """
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i or j])
-    a = grid.select(F.col("cell_id").alias("src"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), "ix", "iy", F.explode(steps).alias("s"))
-    a = a.withColumn("ix", F.col("ix") + F.col("s.i")).withColumn("iy", F.col("iy") + F.col("s.j")).drop("s")
-    b = grid.select(F.col("cell_id").alias("dst"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), "ix", "iy")
-    d = F.sqrt(F.pow(F.col("x1") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("y1") - F.col("y2"), F.lit(2.0)))
-    pairs = a.join(b, ["ix", "iy"]).select("src", "dst", F.round(d, 9).alias("dist"))
-    return top_k(pairs, ["src"], [F.col("dist"), F.col("dst")], k).drop("rank")
+    out, rest = None, saved(left)
+    while rest.head(1) and reach <= most:
+        pairs = join(rest, right, reach)
+        found = saved(top_k(pairs, [key], order, k))
+        full = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k).select(key)
+        last = 2 * reach > most
+        done = found if last else found.join(full, key, "left_semi")
+        out = done if out is None else out.unionByName(done)
+        rest = saved(rest.join(full, key, "left_anti"))
+        reach *= 2
+    return out if out is not None else top_k(join(left, right, reach), [key], order, k)
+
+
+def grid_knn(grid: DataFrame, k: int) -> DataFrame:
+    """(src, dst, dist): the k nearest other cells of a regular grid (cell_id, ix, iy, lon, lat), in degrees; ties go to the lower cell_id.
+
+    Neighbours come from a stencil of cells by an equi-join on cell indices. The stencil grows until every k-th neighbour is
+    nearer than the first cell outside of it, or it spans the grid, so the result is exact.
+    """
+    e = grid.agg(F.max("ix").alias("nx"), F.max("iy").alias("ny"), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    dx, dy = max((e[3] - e[2]) / max(e[0], 1), 1e-12), max((e[5] - e[4]) / max(e[1], 1), 1e-12)
+    radius = math.sqrt(4 * (k + 2) * dx * dy / math.pi)  # a corner cell sees a quarter of the circle
+    while True:
+        rx, ry = min(math.ceil(radius / dx), e[0]), min(math.ceil(radius / dy), e[1])
+        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-rx, rx + 1) for j in range(-ry, ry + 1) if (i or j) and math.hypot(max(0, abs(i) - 1) * dx, max(0, abs(j) - 1) * dy) <= radius])
+        a = grid.select(F.col("cell_id").alias("src"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), "ix", "iy", F.explode(steps).alias("s"))
+        a = a.withColumn("ix", F.col("ix") + F.col("s.i")).withColumn("iy", F.col("iy") + F.col("s.j")).drop("s")
+        b = grid.select(F.col("cell_id").alias("dst"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), "ix", "iy")
+        d = F.sqrt(F.pow(F.col("x1") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("y1") - F.col("y2"), F.lit(2.0)))
+        pairs = a.join(b, ["ix", "iy"]).select("src", "dst", F.round(d, 9).alias("dist"))
+        out = saved(top_k(pairs, ["src"], [F.col("dist"), F.col("dst")], k))
+        worst = out.groupBy("src").agg(F.max("rank").alias("n"), F.max("dist").alias("d")).agg(F.min("n"), F.max("d")).first()
+        if (rx >= e[0] and ry >= e[1]) or (worst[0] == k and worst[1] < radius):
+            return out.drop("rank")
+        radius *= 2

@@ -9,6 +9,7 @@ from ..functions import geo as G
 from ..operators import cluster as C
 from ..operators import density as D
 from ..operators import joins as J
+from ..storage import saved
 from . import views as V
 from .base import Registry
 
@@ -99,13 +100,13 @@ def bandwidth_rules(spark, sf):
 
 
 @query("stations", XY + """, d AS (SELECT a.id, round(sqrt(pow(a.x - b.x, 2.0) + pow(a.y - b.y, 2.0)), 9) AS d FROM xy a JOIN xy b ON a.id <> b.id), k AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS r FROM d)
-SELECT round(quantile_cont(d, 0.95), 6) AS p95 FROM k WHERE r = 4 AND d <= 60.0""")
+SELECT round(quantile_cont(d, 0.95), 6) AS p95 FROM k WHERE r = 4""")
 def kdist_p95(spark, sf):
-    """95th percentile of the distance to the fourth neighbour, among neighbours within 60."""
+    """95th percentile of the distance to the fourth neighbour, by cells of growing width."""
     p = xy(spark, sf)
     side = lambda s: p.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "x", "y")])
-    j = J.planar_join(side("l"), side("r"), 60.0).filter("l_id <> r_id").withColumn("d", F.round("dist", 9))
-    k = J.top_k(j, ["l_id"], [F.col("d")], 4).filter("rank = 4")
+    pairs = lambda a, b, r: J.planar_join(a, b, r).filter("l_id <> r_id").withColumn("d", F.round("dist", 9))
+    k = J.nearest(side("l"), side("r"), "l_id", 4, 30.0, [F.col("d"), F.col("r_id")], pairs, 2000.0).filter("rank = 4")
     return k.agg(F.round(F.percentile("d", 0.95), 6).alias("p95"))
 
 
@@ -130,20 +131,43 @@ def kde_grid(spark, sf):
     return D.kde_points(xy(spark, sf), g, 20.0).select("cell_id", F.round("density", 10).alias("density"))
 
 
-@query("stations", XY + ", e AS (SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2.0) + pow(a.y - b.y, 2.0)), 6) AS w FROM xy a JOIN xy b ON a.id <> b.id AND sqrt(pow(a.x - b.x, 2.0) + pow(a.y - b.y, 2.0)) <= 14.0), w AS (SELECT id AS src, id AS node, 0.0::DOUBLE AS dist, 0 AS k FROM xy WHERE id <= 3 UNION SELECT src, b, round(dist + w, 6), k + 1 FROM w JOIN e ON node = a WHERE dist + w <= 30.0 AND k < 6) SELECT src, node, min(dist) AS dist FROM w GROUP BY src, node")
+@query("stations", XY + ", e AS (SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2.0) + pow(a.y - b.y, 2.0)), 6) AS w FROM xy a JOIN xy b ON a.id <> b.id AND sqrt(pow(a.x - b.x, 2.0) + pow(a.y - b.y, 2.0)) <= 14.0), w AS (SELECT id AS src, id AS node, 0.0::DOUBLE AS dist, 0 AS k FROM xy UNION SELECT src, b, round(dist + w, 6), k + 1 FROM w JOIN e ON node = a WHERE dist + w <= 30.0 AND k < 6) SELECT src, node, min(dist) AS dist FROM w GROUP BY src, node")
 def bounded_sssp(spark, sf):
     p = xy(spark, sf)
     side = lambda s: p.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "x", "y")])
     e = J.planar_join(side("l"), side("r"), 14.0).filter("l_id <> r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.round("dist", 6).alias("w"))
-    return C.shortest_paths(e, p.filter("id <= 3"), 30.0).select("src", "node", F.round("dist", 6).alias("dist"))
+    return C.shortest_paths(e, p, 30.0).select("src", "node", F.round("dist", 6).alias("dist"))
 
 
-@query("", "WITH e AS (SELECT * FROM (VALUES (2, 900.0::DOUBLE), (3, 500.0), (4, 300.0), (5, 260.0), (6, 240.0), (7, 230.0)) t(k, inertia)), d AS (SELECT k, inertia - lag(inertia) OVER (ORDER BY k) AS d FROM e), s AS (SELECT k, d - lag(d) OVER (ORDER BY k) AS s FROM d) SELECT arg_max(k, s) - 1 AS elbow_k FROM s")
+def _lloyd_sql(k: int) -> str:
+    """CTEs of k-means with k centres, three rounds: m{k} holds each point's squared distance to its centre."""
+    near = lambda c: f"(SELECT arg_min(c, (round(pow(xy.x - cx, 2.0) + pow(xy.y - cy, 2.0), 9), c)) FROM {c})"
+    out = f"c{k}_0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, x AS cx, y AS cy FROM (SELECT * FROM xy ORDER BY id LIMIT {k}))"
+    for r in range(3):
+        out += f", a{k}_{r} AS (SELECT xy.*, {near(f'c{k}_{r}')} AS c FROM xy), c{k}_{r + 1} AS (SELECT c, avg(x) AS cx, avg(y) AS cy FROM a{k}_{r} GROUP BY c)"
+    return out + f", m{k} AS (SELECT {k} AS k, sum((SELECT min(pow(xy.x - cx, 2.0) + pow(xy.y - cy, 2.0)) FROM c{k}_3)) AS inertia FROM xy)"
+
+
+KS = range(2, 8)
+SWEEP = XY + ", " + ", ".join(_lloyd_sql(k) for k in KS) + ", sweep AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in KS) + ")"
+
+
+def sweep(spark, sf):
+    """(k, inertia) of k-means for each k: a few rows, whatever the number of points."""
+    p = saved(xy(spark, sf))
+    return spark.createDataFrame([(k, C.inertia(p, C.centres(p, k, 3))) for k in KS], "k int, inertia double")
+
+
+@query("stations", SWEEP + " SELECT k, round(inertia, 4) AS inertia FROM sweep")
+def kmeans_sweep(spark, sf):
+    return sweep(spark, sf).withColumn("inertia", F.round("inertia", 4))
+
+
+@query("stations", SWEEP + ", d AS (SELECT k, inertia - lag(inertia) OVER (ORDER BY k) AS d FROM sweep), s AS (SELECT k, d - lag(d) OVER (ORDER BY k) AS s FROM d) SELECT arg_max(k, s) - 1 AS elbow_k FROM s")
 def elbow_k(spark, sf):
-    """The bend of an inertia curve: the largest second difference. A sweep is a few rows, so one window holds it."""
-    e = spark.createDataFrame([(2, 900.0), (3, 500.0), (4, 300.0), (5, 260.0), (6, 240.0), (7, 230.0)], "k int, inertia double")
+    """The bend of the sweep's inertias: the largest second difference. A sweep is a few rows, so one window holds it."""
     w = Window.orderBy("k")
-    s = e.withColumn("d", F.col("inertia") - F.lag("inertia").over(w)).withColumn("s", F.col("d") - F.lag("d").over(w))
+    s = sweep(spark, sf).withColumn("d", F.col("inertia") - F.lag("inertia").over(w)).withColumn("s", F.col("d") - F.lag("d").over(w))
     return s.agg((F.max_by("k", "s") - 1).alias("elbow_k"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import geo as G
 from ..operators import density as D
 from ..operators import joins as J
+from ..storage import saved
 from . import views as V
 from .base import Registry
 
@@ -53,15 +54,14 @@ def nearby_transit(spark, sf):
     return t.select(F.col("l_case_id").alias("case_id"), F.col("r_sid").alias("sid"), F.col("rank").cast("long").alias("rank"), F.round("dist", 5).alias("dist"))
 
 
-@query("cases stations", f"""j AS (SELECT c.case_id, s.sid, round({M('c.lat', 'c.lon', 's.lat', 's.lon')}, 6) AS d FROM cases c, stations s WHERE c.lat IS NOT NULL AND c.lon IS NOT NULL)
-SELECT case_id, arg_min(sid, (d, sid)) AS sid, round(min(d), 4) AS dist FROM j GROUP BY case_id""")
+@query("cases stations", f"""j AS (SELECT c.case_id, s.sid, {M('c.lat', 'c.lon', 's.lat', 's.lon')} AS d FROM cases c, stations s WHERE c.lat BETWEEN -90 AND 90 AND c.lon BETWEEN -180 AND 180)
+SELECT case_id, arg_min(sid, (round(d, 6), sid)) AS sid, round(arg_min(d, (round(d, 6), sid)), 4) AS dist FROM j GROUP BY case_id""")
 def nearest_station(spark, sf):
-    """Stations are a bounded list, broadcast to the cases; one row for each case by a minimum before the shuffle."""
-    c = V.cases(spark, sf).filter("lat IS NOT NULL AND lon IS NOT NULL")
-    s = V.stations(spark, sf).select("sid", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    d = F.round(G.haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), 6)
-    j = c.crossJoin(F.broadcast(s)).select("case_id", F.struct(d.alias("d"), "sid").alias("x"))
-    return j.groupBy("case_id").agg(F.min("x").alias("x")).select("case_id", F.col("x.sid").alias("sid"), F.round("x.d", 4).alias("dist"))
+    """The nearest station of each case with valid coordinates, by cells of growing width; ties go to the lower id."""
+    c = two(V.cases(spark, sf).filter("lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180"), "l", ["case_id", "lat", "lon"])
+    s = two(V.stations(spark, sf), "r", ["sid", "lat", "lon"])
+    j = J.nearest(c, s, "l_case_id", 1, 40.0, [F.round("dist", 6), F.col("r_sid")], lambda a, b, r: J.radius_join(a, b, r, 40.0), 3000.0)
+    return j.select(F.col("l_case_id").alias("case_id"), F.col("r_sid").alias("sid"), F.round("dist", 4).alias("dist"))
 
 
 @query("stations", """d AS (SELECT region, count(*) AS n, count(DISTINCT round(lat, 2)) AS u FROM stations GROUP BY region), r AS (SELECT sid, region, 'road ' || region || '-' || k AS road FROM stations, range(3) t(k)) SELECT sid, list(road ORDER BY road) AS roads FROM r GROUP BY sid""")
@@ -194,114 +194,129 @@ def grid_make(spark, sf):
     return V.grid(spark).select("cell_id", "ix", "iy", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-PRIOR = """k AS (SELECT cell_id, sum(weight * exp(-(pow((g.lon - h.lon) * 69.13::DOUBLE * cos(radians(g.lat)), 2.0) + pow((g.lat - h.lat) * 69.13::DOUBLE, 2.0)) / 1800.0::DOUBLE)) AS z FROM grid g, hotspots h GROUP BY cell_id),
+PRIOR = """k AS (SELECT cell_id, sum(weight * exp(-(pow((g.lon - h.lon) * 69.13::DOUBLE * cos(radians(g.lat)), 2.0) + pow((g.lat - h.lat) * 69.13::DOUBLE, 2.0)) / 1800.0::DOUBLE)) AS z FROM plan g, hotspots h GROUP BY cell_id),
 prior AS (SELECT cell_id, z / (sum(z) OVER () + 1e-9::DOUBLE) AS p FROM k)"""
 
 
 def prior_frame(spark, sf):
-    return D.kde_prior(V.grid(spark), V.hotspots(spark, sf), 30.0)
+    return D.kde_prior(V.plan(spark), V.hotspots(spark, sf), 30.0)
 
 
-@query("grid hotspots", PRIOR + " SELECT cell_id, round(p, 10) AS p FROM prior")
+@query("plan hotspots", PRIOR + " SELECT cell_id, round(p, 10) AS p FROM prior")
 def kde_prior(spark, sf):
     return prior_frame(spark, sf).select("cell_id", F.round("p", 10).alias("p"))
 
 
-@query("grid hotspots", PRIOR + " SELECT cell_id, round(p / (max(p) OVER () + 1e-12::DOUBLE), 6) AS weight, 12.43::DOUBLE AS sigma FROM prior ORDER BY round(p, 12) DESC, cell_id LIMIT 20")
+@query("plan hotspots", PRIOR + " SELECT cell_id, round(p / (max(p) OVER () + 1e-12::DOUBLE), 6) AS weight, 12.43::DOUBLE AS sigma FROM prior ORDER BY round(p, 12) DESC, cell_id LIMIT 20")
 def grid_hotspots(spark, sf):
     p = prior_frame(spark, sf)
     top = p.agg(F.max("p").alias("m"))
     return p.orderBy(F.desc(F.round("p", 12)), "cell_id").limit(20).crossJoin(F.broadcast(top)).select("cell_id", F.round(F.col("p") / (F.col("m") + 1e-12), 6).alias("weight"), F.lit(12.43).alias("sigma"))
 
 
-SEED = """s0 AS (SELECT cell_id, exp(-(pow((lon - -78.5::DOUBLE) * 69.13::DOUBLE * cos(radians(37.5::DOUBLE)), 2.0) + pow((lat - 37.5::DOUBLE) * 69.13::DOUBLE, 2.0)) / 1250.0::DOUBLE) AS z FROM grid),
+SEED = """s0 AS (SELECT cell_id, exp(-(pow((lon - -78.5::DOUBLE) * 69.13::DOUBLE * cos(radians(37.5::DOUBLE)), 2.0) + pow((lat - 37.5::DOUBLE) * 69.13::DOUBLE, 2.0)) / 1250.0::DOUBLE) AS z FROM plan),
 seed AS (SELECT cell_id, z / (sum(z) OVER () + 1e-12::DOUBLE) AS p FROM s0)"""
-FEATURES = "f AS (SELECT cell_id, (cell_id % 7)::DOUBLE AS rc, (cell_id % 5)::DOUBLE AS sc, (cell_id % 3)::DOUBLE AS cc FROM grid)"
+FEATURES = "f AS (SELECT cell_id, (cell_id % 7)::DOUBLE AS rc, (cell_id % 5)::DOUBLE AS sc, (cell_id % 3)::DOUBLE AS cc FROM plan)"
 
 
 def seed_frame(spark):
-    return D.seed(V.grid(spark), 37.5, -78.5, 25.0)
+    return D.seed(V.plan(spark), 37.5, -78.5, 25.0)
 
 
 def features(spark):
-    return V.grid(spark).select("cell_id", *[(F.col("cell_id") % k).cast("double").alias(c) for c, k in (("rc", 7), ("sc", 5), ("cc", 3))])
+    return V.plan(spark).select("cell_id", *[(F.col("cell_id") % k).cast("double").alias(c) for c, k in (("rc", 7), ("sc", 5), ("cc", 3))])
 
 
-@query("grid", SEED + " SELECT cell_id, round(p, 10) AS p FROM seed")
+@query("plan", SEED + " SELECT cell_id, round(p, 10) AS p FROM seed")
 def seed_gaussian(spark, sf):
     return seed_frame(spark).select("cell_id", F.round("p", 10).alias("p"))
 
 
-@query("grid", SEED + ", " + FEATURES + ", a AS (SELECT cell_id, p * (1.0::DOUBLE + 0.3::DOUBLE * sc / 4.0) AS p FROM seed JOIN f USING (cell_id)) SELECT cell_id, round(p / sum(p) OVER (), 10) AS p FROM a")
+@query("plan", SEED + ", " + FEATURES + ", a AS (SELECT cell_id, p * (1.0::DOUBLE + 0.3::DOUBLE * sc / 4.0) AS p FROM seed JOIN f USING (cell_id)) SELECT cell_id, round(p / sum(p) OVER (), 10) AS p FROM a")
 def risk_adjust(spark, sf):
     a = seed_frame(spark).join(features(spark), "cell_id").select("cell_id", (F.col("p") * (F.lit(1.0) + 0.3 * F.col("sc") / 4.0)).alias("p"))
     return D.normalised(a, "p", 0.0).select("cell_id", F.round("p", 10).alias("p"))
 
 
-KNN = """nn AS (SELECT a.cell_id AS src, b.cell_id AS dst, round(sqrt(pow(a.lon - b.lon, 2.0) + pow(a.lat - b.lat, 2.0)), 9) AS d FROM grid a JOIN grid b ON abs(a.ix - b.ix) <= 3 AND abs(a.iy - b.iy) <= 3 AND a.cell_id <> b.cell_id),
-knn AS (SELECT src, dst, d FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS r FROM nn) WHERE r <= 8)"""
+# Every cell has more than 12 others within 0.6 degrees, so no nearer one is left out.
+KNN = """nn AS (SELECT a.cell_id AS src, b.cell_id AS dst, round(sqrt(pow(a.lon - b.lon, 2.0) + pow(a.lat - b.lat, 2.0)), 9) AS d FROM plan a JOIN plan b ON a.cell_id <> b.cell_id AND abs(a.lon - b.lon) <= 0.6 AND abs(a.lat - b.lat) <= 0.6),
+knn AS (SELECT src, dst, d FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS r FROM nn) WHERE r <= 12)"""
 TRANS = KNN + ", " + FEATURES + """, w0 AS (SELECT cell_id AS dst, exp(-(rc / (6.0::DOUBLE + 1e-9)) + 0.5::DOUBLE * sc / (4.0::DOUBLE + 1e-9)) AS w FROM f),
-w1 AS (SELECT src, dst, w FROM knn JOIN w0 USING (dst) UNION ALL SELECT cell_id, cell_id, 1e-6::DOUBLE FROM grid), trans AS (SELECT src, dst, w / (sum(w) OVER (PARTITION BY src) + 1e-12::DOUBLE) AS w FROM w1)"""
+w1 AS (SELECT src, dst, w FROM knn JOIN w0 USING (dst) UNION ALL SELECT cell_id, cell_id, 1e-6::DOUBLE FROM plan), trans AS (SELECT src, dst, w / (sum(w) OVER (PARTITION BY src) + 1e-12::DOUBLE) AS w FROM w1)"""
 STEPS = SEED + ", " + TRANS + "".join(f", m{k} AS (SELECT dst AS cell_id, sum(p * w) AS p FROM {'seed' if k == 1 else f'p{k - 1}'} JOIN trans ON cell_id = src GROUP BY dst), p{k} AS (SELECT cell_id, p / sum(p) OVER () AS p FROM m{k})" for k in range(1, 10))
 
 
 def matrix(spark):
-    return D.transition(J.grid_knn(V.grid(spark), 8, 3), features(spark))
-
-
-def marched(spark, n: int):
-    """States after 1..n steps. The plan is unrolled; the grid is bounded and each step reuses the matrix's exchange."""
-    m = matrix(spark).persist()
-    out, p = [], seed_frame(spark)
-    for _ in range(n):
-        p = D.step(p, m)
-        out.append(D.normalised(p, "p", 0.0))
+    return D.transition(J.grid_knn(V.plan(spark), 12), features(spark))
+
+
+def marched(spark, steps: list[int]):
+    """States after so many steps (rising); the matrix and each state are written down, so that no plan grows with the steps."""
+    m = saved(matrix(spark))
+    out, p, done = {}, seed_frame(spark), 0
+    for n in steps:
+        while done < n:
+            p, done = D.step(p, m), done + 1
+        p = saved(p)
+        out[n] = D.normalised(p, "p", 0.0)
     return out
 
 
-@query("grid", KNN + " SELECT src, dst, round(d, 6) AS dist FROM knn")
+@query("plan", KNN + " SELECT src, dst, round(d, 6) AS dist FROM knn")
 def knn_edges(spark, sf):
-    return J.grid_knn(V.grid(spark), 8, 3).select("src", "dst", F.round("dist", 6).alias("dist"))
+    return J.grid_knn(V.plan(spark), 12).select("src", "dst", F.round("dist", 6).alias("dist"))
 
 
-@query("grid", TRANS + " SELECT src, dst, round(w, 8) AS w FROM trans")
+@query("plan", TRANS + " SELECT src, dst, round(w, 8) AS w FROM trans")
 def transition_rows(spark, sf):
     return matrix(spark).select("src", "dst", F.round("w", 8).alias("w"))
 
 
-@query("grid", STEPS + " SELECT cell_id, round(p, 9) AS p FROM p1")
+@query("plan", STEPS + " SELECT cell_id, round(p, 9) AS p FROM p1")
 def markov_step(spark, sf):
-    return marched(spark, 1)[-1].select("cell_id", F.round("p", 9).alias("p"))
+    return marched(spark, [1])[1].select("cell_id", F.round("p", 9).alias("p"))
 
 
-@query("grid", STEPS + " SELECT 24 AS horizon, cell_id, round(p, 9) AS p FROM p3 UNION ALL SELECT 48, cell_id, round(p, 9) FROM p6 UNION ALL SELECT 72, cell_id, round(p, 9) FROM p9")
+@query("plan", STEPS + " SELECT 24 AS horizon, cell_id, round(p, 9) AS p FROM p3 UNION ALL SELECT 48, cell_id, round(p, 9) FROM p6 UNION ALL SELECT 72, cell_id, round(p, 9) FROM p9")
 def forecast_timeline(spark, sf):
-    s = marched(spark, 9)
-    frames = [s[k].select(F.lit(h).alias("horizon"), "cell_id", F.round("p", 9).alias("p")) for h, k in ((24, 2), (48, 5), (72, 8))]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return forecast_states(spark).withColumn("p", F.round("p", 9))
 
 
 CUM = STEPS + ", c0 AS (SELECT cell_id, sum(p) AS p FROM (SELECT cell_id, 0.5::DOUBLE * p AS p FROM p3 UNION ALL SELECT cell_id, 0.3::DOUBLE * p FROM p6 UNION ALL SELECT cell_id, 0.2::DOUBLE * p FROM p9) GROUP BY cell_id), cum AS (SELECT cell_id, p / (sum(p) OVER () + 1e-9::DOUBLE) AS p FROM c0)"
 
 
 def cumulative(spark):
-    s = marched(spark, 9)
-    parts = [s[k].select("cell_id", (F.lit(w) * F.col("p")).alias("p")) for w, k in ((0.5, 2), (0.3, 5), (0.2, 8))]
-    return D.normalised(parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("cell_id").agg(F.sum("p").alias("p")), "p", 1e-9)
+    weight = F.when(F.col("horizon") == 24, 0.5).when(F.col("horizon") == 48, 0.3).otherwise(0.2)
+    return D.normalised(forecast_states(spark).groupBy("cell_id").agg(F.sum(weight * F.col("p")).alias("p")), "p", 1e-9)
 
 
-@query("grid", CUM + " SELECT cell_id, round(p, 9) AS p FROM cum")
+@query("plan", CUM + " SELECT cell_id, round(p, 9) AS p FROM cum")
 def forecast_cumulative(spark, sf):
     return cumulative(spark).select("cell_id", F.round("p", 9).alias("p"))
 
 
 HORIZON = STEPS + """, h AS (SELECT 24 AS hz, * FROM p3 UNION ALL SELECT 48, * FROM p6 UNION ALL SELECT 72, * FROM p9),
-a AS (SELECT hz, sector, sum(p) AS m FROM h JOIN grid USING (cell_id) JOIN sectors ON lon > lon1 AND lon < lon2 AND lat > lat1 AND lat < lat2 GROUP BY hz, sector)"""
+a AS (SELECT hz, sector, sum(p) AS m FROM h JOIN plan USING (cell_id) JOIN sectors ON lon > lon1 AND lon < lon2 AND lat > lat1 AND lat < lat2 GROUP BY hz, sector)"""
+
+
+@query("plan", STEPS + ", h AS (SELECT 24 AS hz, * FROM p3 UNION ALL SELECT 48, * FROM p6 UNION ALL SELECT 72, * FROM p9), m AS (SELECT cell_id, max(p) AS p FROM h GROUP BY cell_id) SELECT cell_id, round(p / (sum(p) OVER () + 1e-9::DOUBLE), 9) AS p FROM m")
+def forecast_maximum(spark, sf):
+    """The horizons' states put together by their largest value, normalised."""
+    m = forecast_states(spark).groupBy("cell_id").agg(F.max("p").alias("p"))
+    return D.normalised(m, "p", 1e-9).select("cell_id", F.round("p", 9).alias("p"))
+
+
+@query("plan hotspots", PRIOR + ", " + STEPS.replace("WITH", "") + ", b AS (SELECT cell_id, (1.0::DOUBLE - 0.3::DOUBLE) * s.p + 0.3::DOUBLE * r.p AS p FROM p3 s JOIN prior r USING (cell_id)), v AS (SELECT cell_id, p * exp(-ln(2.0) / 24.0 * 24.0) AS p FROM b) SELECT cell_id, round(p / (sum(p) OVER () + 1e-9::DOUBLE), 9) AS p FROM v")
+def risk_map(spark, sf):
+    """The state after three steps blended with the prior, times survival (a scalar, so it cancels), normalised."""
+    j = marched(spark, [3])[3].withColumnRenamed("p", "s").join(prior_frame(spark, sf).withColumnRenamed("p", "r"), "cell_id")
+    p = j.select("cell_id", (((F.lit(1.0) - 0.3) * F.col("s") + 0.3 * F.col("r")) * F.exp(-F.ln(F.lit(2.0)) / 24.0 * 24.0)).alias("p"))
+    return D.normalised(p, "p", 1e-9).select("cell_id", F.round("p", 9).alias("p"))
 
 
-@query("grid sectors", HORIZON + " SELECT sector, round(coalesce(max(m) FILTER (hz = 24), 0.0), 7) AS mass_24, round(coalesce(max(m) FILTER (hz = 48), 0.0), 7) AS mass_48, round(coalesce(max(m) FILTER (hz = 72), 0.0), 7) AS mass_72 FROM a GROUP BY sector")
+@query("plan sectors", HORIZON + " SELECT sector, round(coalesce(max(m) FILTER (hz = 24), 0.0), 7) AS mass_24, round(coalesce(max(m) FILTER (hz = 48), 0.0), 7) AS mass_48, round(coalesce(max(m) FILTER (hz = 72), 0.0), 7) AS mass_72 FROM a GROUP BY sector")
 def horizon_pivot(spark, sf):
-    t = forecast_states(spark).join(V.grid(spark), "cell_id")
+    t = forecast_states(spark).join(V.plan(spark), "cell_id")
     on = (F.col("lon") > F.col("lon1")) & (F.col("lon") < F.col("lon2")) & (F.col("lat") > F.col("lat1")) & (F.col("lat") < F.col("lat2"))
     a = t.join(F.broadcast(V.sectors(spark)), on)
     p = a.groupBy("sector").pivot("horizon", [24, 48, 72]).agg(F.sum("p"))
@@ -309,22 +324,22 @@ def horizon_pivot(spark, sf):
 
 
 def forecast_states(spark):
-    s = marched(spark, 9)
-    frames = [s[k].select(F.lit(h).alias("horizon"), "cell_id", "p") for h, k in ((24, 2), (48, 5), (72, 8))]
+    s = marched(spark, [3, 6, 9])
+    frames = [s[k].select(F.lit(h).alias("horizon"), "cell_id", "p") for h, k in ((24, 3), (48, 6), (72, 9))]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@query("grid", STEPS + """, a AS (SELECT cell_id FROM p3 ORDER BY round(p, 12) DESC, cell_id LIMIT 100), b AS (SELECT cell_id FROM p9 ORDER BY round(p, 12) DESC, cell_id LIMIT 100)
+@query("plan", STEPS + """, a AS (SELECT cell_id FROM p3 ORDER BY round(p, 12) DESC, cell_id LIMIT 100), b AS (SELECT cell_id FROM p9 ORDER BY round(p, 12) DESC, cell_id LIMIT 100)
 SELECT round((SELECT count(*) FROM a JOIN b USING (cell_id))::DOUBLE / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)), 6) AS jaccard""")
 def topk_jaccard(spark, sf):
-    s = marched(spark, 9)
+    s = marched(spark, [3, 9])
     top = lambda p: p.orderBy(F.desc(F.round("p", 12)), "cell_id").limit(100).select("cell_id")
-    a, b = top(s[2]), top(s[8])
+    a, b = top(s[3]), top(s[9])
     both, either = a.intersect(b).agg(F.count(F.lit(1)).alias("i")), a.union(b).distinct().agg(F.count(F.lit(1)).alias("u"))
     return both.crossJoin(either).select(F.round(F.col("i") / F.col("u"), 6).alias("jaccard"))
 
 
-@query("grid hotspots", PRIOR + ", " + SEED + """, j AS (SELECT a.p + 1e-9 AS p, b.p + 1e-9 AS q FROM prior a JOIN seed b USING (cell_id)), n AS (SELECT p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM j)
+@query("plan hotspots", PRIOR + ", " + SEED + """, j AS (SELECT a.p + 1e-9 AS p, b.p + 1e-9 AS q FROM prior a JOIN seed b USING (cell_id)), n AS (SELECT p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM j)
 SELECT round(greatest(0.0, sum(p * ln((p + 1e-9) / greatest(q, 1e-9)))), 6) AS kl FROM n""")
 def kl_divergence(spark, sf):
     j = prior_frame(spark, sf).withColumnRenamed("p", "a").join(seed_frame(spark).withColumnRenamed("p", "b"), "cell_id").select("cell_id", (F.col("a") + 1e-9).alias("p"), (F.col("b") + 1e-9).alias("q"))
@@ -332,7 +347,7 @@ def kl_divergence(spark, sf):
     return n.agg(F.round(F.greatest(F.lit(0.0), F.sum(F.col("p") * F.ln((F.col("p") + 1e-9) / F.greatest(F.col("q"), F.lit(1e-9))))), 6).alias("kl"))
 
 
-@query("grid hotspots", PRIOR + ", " + SEED + """, j AS (SELECT round(a.p, 12) AS p, round(b.p, 12) AS q FROM prior a JOIN seed b USING (cell_id)),
+@query("plan hotspots", PRIOR + ", " + SEED + """, j AS (SELECT round(a.p, 12) AS p, round(b.p, 12) AS q FROM prior a JOIN seed b USING (cell_id)),
 r AS (SELECT rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS rq FROM j) SELECT round(coalesce(corr(rp, rq), 0.0), 6) AS rho FROM r""")
 def spearman(spark, sf):
     """Correlation of mean ranks over the cells of a bounded grid."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -72,9 +73,14 @@ def grid(spark, sf=None, n: int = 20):
     return c.withColumn("lon", F.lit(-83.7) + F.lit(8.4) * F.col("ix").cast("double") / F.lit(float(n - 1))).withColumn("lat", F.lit(36.5) + F.lit(3.0) * F.col("iy").cast("double") / F.lit(float(n - 1)))
 
 
+def plan(spark, sf=None):
+    """The planning grid: 80 by 80 cells."""
+    return grid(spark, sf, 80)
+
+
 def hotspots(spark, sf):
-    """The largest places of each brand family, as hotspots of three methods; radii are 0 for some."""
-    p = places(spark, sf).filter("place_id <= 60")
+    """The three largest places of each brand (a bounded report over all places), as hotspots of three methods; radii are 0 for some."""
+    p = places(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("size"), "place_id"))).filter("r <= 3")
     return p.select(F.col("place_id").alias("hid"), "lat", "lon", (F.col("size") / F.lit(10.0)).alias("weight"), F.when(F.col("place_id") % 4 == 0, 0.0).otherwise(F.col("size") / F.lit(5.0)).alias("radius"), F.element_at(F.array(F.lit("kmeans"), F.lit("dbscan"), F.lit("kde")), (F.col("place_id") % 3 + 1).cast("int")).alias("method"))
 
 
@@ -109,7 +115,8 @@ SQL = {
     "places": "SELECT p_partkey AS place_id, p_name AS name, p_brand AS brand, 36.5::DOUBLE + 3.0::DOUBLE * ((p_partkey * 5) % 97)::DOUBLE / 97.0::DOUBLE AS lat, -83.7::DOUBLE + 8.4::DOUBLE * ((p_partkey * 11) % 89)::DOUBLE / 89.0::DOUBLE AS lon, p_size AS size FROM part",
     "sectors": "SELECT 'R' || i AS sector, -83.7::DOUBLE + 2.1::DOUBLE * (i % 4) AS lon1, 36.5::DOUBLE + 1.5::DOUBLE * (i // 4) AS lat1, -83.7::DOUBLE + 2.1::DOUBLE * (i % 4 + 1) AS lon2, 36.5::DOUBLE + 1.5::DOUBLE * (i // 4 + 1) AS lat2 FROM range(8) t(i)",
     "grid": "SELECT i AS cell_id, i % 20 AS ix, i // 20 AS iy, -83.7::DOUBLE + 8.4::DOUBLE * (i % 20)::DOUBLE / 19.0::DOUBLE AS lon, 36.5::DOUBLE + 3.0::DOUBLE * (i // 20)::DOUBLE / 19.0::DOUBLE AS lat FROM range(400) t(i)",
-    "hotspots": "SELECT place_id AS hid, lat, lon, size / 10.0::DOUBLE AS weight, CASE WHEN place_id % 4 = 0 THEN 0.0 ELSE size / 5.0::DOUBLE END::DOUBLE AS radius, ['kmeans', 'dbscan', 'kde'][place_id % 3 + 1] AS method FROM places WHERE place_id <= 60",
+    "plan": "SELECT i AS cell_id, i % 80 AS ix, i // 80 AS iy, -83.7::DOUBLE + 8.4::DOUBLE * (i % 80)::DOUBLE / 79.0::DOUBLE AS lon, 36.5::DOUBLE + 3.0::DOUBLE * (i // 80)::DOUBLE / 79.0::DOUBLE AS lat FROM range(6400) t(i)",
+    "hotspots": "SELECT place_id AS hid, lat, lon, size / 10.0::DOUBLE AS weight, CASE WHEN place_id % 4 = 0 THEN 0.0 ELSE size / 5.0::DOUBLE END::DOUBLE AS radius, ['kmeans', 'dbscan', 'kde'][place_id % 3 + 1] AS method FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY size DESC, place_id) AS r FROM places) WHERE r <= 3",
     "sightings": f"SELECT user_id AS case_id, event_id AS sid, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id)))::DOUBLE / 3.6e9::DOUBLE AS t_hr, {lat_sql('event_id')} AS lat, {lon_sql('event_id')} AS lon, event_type, value FROM events",
     "windows": "SELECT * FROM (VALUES (0::BIGINT, 0.0::DOUBLE, 24.0::DOUBLE, 1.0::DOUBLE, 15.0::DOUBLE), (1, 24.0, 48.0, 0.7, 25.0), (2, 48.0, 72.0, 0.5, 40.0)) t(win, ws, we, w, far)",
 }
