@@ -38,12 +38,12 @@ def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's record, against a replica in which known records are damaged."""
+    """Every page's record, against a replica with known damage: other bytes, lost bytes, lost, exchanged and added records."""
     from .common import checkpoint
-    from .fixity import audit, records, rotted
+    from .fixity import audit, damaged, digests, placed, rotted, written
 
-    stored = checkpoint(records(table(spark, sf_dir, "pages")))
-    return audit(stored, rotted(stored))
+    stored = checkpoint(placed(digests(written(table(spark, sf_dir, "pages")), rotted)))
+    return audit(stored, damaged(stored))
 
 
 def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,27 +91,72 @@ def op10_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-#: Merkle levels by string_agg; the damage is known, so statuses come from comparing every record's digest.
+#: Merkle levels by string_agg; statuses come from comparing every place.
 OP4_SQL = """
 WITH r AS (
   SELECT page_id, page_id // 1024 AS file,
          'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
          || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-         || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
-         || coalesce(html, '') || chr(13) AS head
+         || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) AS head,
+         coalesce(html, '') AS body, chr(13) || chr(10) || chr(13) AS tail
   FROM pages),
-n AS (
-  SELECT page_id, file, row_number() OVER w - 1 AS number, sha256(head || chr(10) || chr(13) || chr(10)) AS digest,
-         sha256(head || chr(10) || chr(13) || CASE WHEN page_id % 101 = 7 THEN 'X' ELSE chr(10) END) AS other_digest, strlen(head) + 3 AS length,
-         coalesce(sum(strlen(head) + 3) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
-  FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id)),
-a0 AS (SELECT file, number AS node, sha256(concat_ws(' ', number, "offset", length, digest)) AS h, sha256(concat_ws(' ', number, "offset", length, other_digest)) AS g FROM n),
-a1 AS (SELECT file, node // 16 AS node, sha256(string_agg(node || ':' || h, ',' ORDER BY a0.node)) AS h, sha256(string_agg(node || ':' || g, ',' ORDER BY a0.node)) AS g FROM a0 GROUP BY file, a0.node // 16),
-a2 AS (SELECT file, node // 16 AS node, sha256(string_agg(node || ':' || h, ',' ORDER BY a1.node)) AS h, sha256(string_agg(node || ':' || g, ',' ORDER BY a1.node)) AS g FROM a1 GROUP BY file, a1.node // 16),
-a3 AS (SELECT file, sha256(string_agg(node || ':' || h, ',' ORDER BY a2.node)) AS h, sha256(string_agg(node || ':' || g, ',' ORDER BY a2.node)) AS g FROM a2 GROUP BY file, a2.node // 16)
-SELECT page_id, file, number, "offset", length, digest, other_digest, CASE WHEN digest = other_digest THEN 'intact' ELSE 'corrupt' END AS status,
-       h <> g AS file_differs, h AS good_root, g AS other_root
-FROM n JOIN a3 USING (file)
+d AS (SELECT page_id, file, strlen(head || body || tail) + 1 AS length, sha256(head || body || tail || chr(10)) AS digest,
+         CASE WHEN page_id % 101 = 11 THEN strlen(head || body || tail) - 9 ELSE strlen(head || body || tail) + 1 END AS length2,
+         CASE WHEN page_id % 101 = 11 THEN sha256(CASE WHEN strlen(body) >= 6 THEN decode(encode(head || body)[1:strlen(head || body) - 6]) ELSE substr(head || body || tail || chr(10), 1, length(head || body || tail) - 9) END)
+              WHEN page_id % 101 = 7 THEN sha256(head || body || tail || 'X') ELSE sha256(head || body || tail || chr(10)) END AS digest2 FROM r),
+n AS (SELECT *, row_number() OVER w - 1 AS number, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM d WINDOW w AS (PARTITION BY file ORDER BY page_id, digest)),
+s AS (SELECT file, min("offset") AS first, max(length2) FILTER (number = 3) AS gain FROM n WHERE file % 50 = 0 AND number IN (2, 3) GROUP BY file HAVING max(length2) FILTER (number = 3) IS NOT NULL),
+o AS (SELECT page_id, n.file, CASE WHEN gain IS NOT NULL AND number IN (2, 3) THEN 5 - number ELSE number END AS number,
+         CASE WHEN gain IS NOT NULL AND number = 3 THEN first WHEN gain IS NOT NULL AND number = 2 THEN first + gain ELSE "offset" END AS "offset", length2 AS length, digest2 AS digest
+      FROM n LEFT JOIN s ON n.file = s.file WHERE page_id % 101 <> 13
+      UNION ALL SELECT NULL, file, max(number) + 1, sum(length)::BIGINT, 5, sha256('extra') FROM n WHERE file % 50 = 0 GROUP BY file),
+k AS (SELECT CASE WHEN max(number) < 16 THEN 1 WHEN max(number) < 256 THEN 2 ELSE 3 END AS height FROM (SELECT number FROM n UNION ALL SELECT number FROM o)),
+a0 AS (SELECT 'a' AS side, file, number AS node, sha256(concat_ws(' ', number, "offset", length, digest)) AS h FROM n UNION ALL SELECT 'b', file, number, sha256(concat_ws(' ', number, "offset", length, digest)) FROM o),
+a1 AS (SELECT side, file, node // 16 AS node, sha256(string_agg(node || ':' || h, ',' ORDER BY a0.node)) AS h FROM a0 GROUP BY side, file, a0.node // 16),
+a2 AS (SELECT side, file, node // 16 AS node, sha256(string_agg(node || ':' || h, ',' ORDER BY a1.node)) AS h FROM a1 GROUP BY side, file, a1.node // 16),
+a3 AS (SELECT side, file, node // 16 AS node, sha256(string_agg(node || ':' || h, ',' ORDER BY a2.node)) AS h FROM a2 GROUP BY side, file, a2.node // 16),
+top AS (SELECT side, file, h FROM a1, k WHERE height = 1 UNION ALL SELECT side, file, h FROM a2, k WHERE height = 2 UNION ALL SELECT side, file, h FROM a3, k WHERE height = 3),
+f AS (SELECT file, max(h) FILTER (side = 'a') AS good_root, max(h) FILTER (side = 'b') AS other_root FROM top GROUP BY file),
+j AS (SELECT coalesce(n.page_id, o.page_id) AS page_id, file, number, coalesce(n."offset", o."offset") AS "offset", coalesce(n.length, o.length) AS length, n.length AS l1, o.length AS l2, n.digest AS digest, o.digest AS other_digest,
+        n.digest IS DISTINCT FROM o.digest OR n."offset" IS DISTINCT FROM o."offset" OR n.length IS DISTINCT FROM o.length AS bad FROM n FULL JOIN o USING (file, number)),
+m AS (SELECT file, other_digest AS digest, min(number) AS moved_to FROM j WHERE bad AND other_digest IS NOT NULL GROUP BY file, other_digest),
+x AS (SELECT j.*, CASE WHEN bad AND m.moved_to <> number THEN m.moved_to END AS moved_to FROM j LEFT JOIN m ON j.bad AND j.file = m.file AND j.digest = m.digest)
+SELECT page_id, file, number, "offset", length, digest, other_digest,
+       CASE WHEN NOT bad THEN 'intact' WHEN moved_to IS NOT NULL THEN 'moved' WHEN other_digest IS NULL THEN 'missing' WHEN digest IS NULL THEN 'extra' WHEN l1 <> l2 THEN 'resized' ELSE 'corrupt' END AS status,
+       moved_to, good_root IS DISTINCT FROM other_root AS file_differs, (SELECT bool_or(good_root IS DISTINCT FROM other_root) FROM f) AS replica_differs, good_root, other_root
+FROM x JOIN f USING (file)
+"""
+
+
+def _tree_sql() -> str:
+    """Draws of every node of the two trees of op3 by its name; the smallest -ln(u) / weight among siblings wins."""
+    from .sharding import Tree
+
+    tree = Tree.balanced(40)
+    rows, first = [], 0
+    for r, region in enumerate(tree.grown().regions):
+        total = sum(sum(rack) for rack in region)
+        for k, rack in enumerate(region):
+            rows += [(r, float(total), k, float(sum(rack)), s, float(w), first + s) for s, w in enumerate(rack)]
+            first += len(rack)
+    return ", ".join(f"({r}, {a}::DOUBLE, {k}, {b}::DOUBLE, {s}, {c}::DOUBLE, {n})" for r, a, k, b, s, c, n in rows)
+
+
+#: CRC-32 is folded over the bytes of each text with its public table.
+OP3_SQL = """
+WITH crc AS (SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, _: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS t),
+b AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, strlen(text) + 16 AS size, coalesce(doc_id::VARCHAR, 'null') AS key,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x) + 1, 2), lambda i: ((strpos('0123456789ABCDEF', x[i]) - 1) * 16 + strpos('0123456789ABCDEF', x[i + 1]) - 1)::BIGINT)),
+            lambda a, v: xor(a >> 8, t[(xor(a, v) & 255) + 1])::BIGINT), 4294967295) AS text_crc32 FROM b, crc),
+n AS (SELECT * FROM (VALUES {nodes}) v(r, rw, k, kw, s, sw, shard)),
+u AS (SELECT DISTINCT name FROM (SELECT r::VARCHAR AS name FROM n UNION ALL SELECT r || '/' || k FROM n UNION ALL SELECT r || '/' || k || '/' || s FROM n)),
+d AS (SELECT key, name, -ln((('0x' || substr(md5(key || '/' || name), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS e FROM (SELECT DISTINCT key FROM c), u),
+p AS (SELECT key, g, arg_min(r, (e / rw, r)) AS r FROM d JOIN (SELECT DISTINCT r, rw, g FROM n, (VALUES (0), (1)) q(g) WHERE g = 1 OR shard < 40) ON name = r::VARCHAR GROUP BY key, g),
+q AS (SELECT p.key, g, p.r, arg_min(k, (e / kw, k)) AS k FROM p JOIN (SELECT DISTINCT r, k, kw FROM n) x ON x.r = p.r JOIN d ON d.key = p.key AND d.name = x.r || '/' || x.k GROUP BY p.key, g, p.r),
+w AS (SELECT q.key, g, arg_min(shard, (e / sw, s)) AS shard FROM q JOIN n ON n.r = q.r AND n.k = q.k JOIN d ON d.key = q.key AND d.name = n.r || '/' || n.k || '/' || n.s GROUP BY q.key, g),
+z AS (SELECT c.*, a.shard AS shard, h.shard AS grown_shard FROM c JOIN w a ON a.key = c.key AND a.g = 0 JOIN w h ON h.key = c.key AND h.g = 1)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard FROM z
 """
 
 
@@ -154,4 +199,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_merkle_fixity": OP4_SQL, "op6_prefix_tree_join": OP6_SQL, "op9_inverted_index": OP9_SQL}
+    return {"op3_hash_tree_sharding": OP3_SQL.replace("{nodes}", _tree_sql()), "op4_merkle_fixity": OP4_SQL, "op6_prefix_tree_join": OP6_SQL, "op9_inverted_index": OP9_SQL}
