@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import at_column, numbered_in_order, positional
 
 
 @dataclass(frozen=True)
@@ -66,15 +66,16 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return reduce(lambda rest, x: F.when(at == x[0], x[1]).otherwise(rest), list(enumerate(racks))[:-1], racks[-1])
 
 
-def shard(docs: DataFrame, tree: Tree, more: Tree | None = None, overhead: int = 16, id_column: str = "doc_id", text_column: str = "text", slots: int | None = None) -> DataFrame:
-    """A row for each document: its shard, its place in the shard and, if `more` is given, its shard in that tree.
+def shard(docs: DataFrame, tree: Tree, more: Tree | None = None, overhead: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """A row for each document: its shard, its place in the shard by id, size and checksum, and, if `more` is given, its shard in
+    that tree.
 
-    size is the text's bytes plus `overhead`; a null text has no bytes. A null id is a key of its own ("null"). Equal ids
-    go to the same shard and get places of their own. Columns other than id and text are ignored.
+    size is the text's bytes plus `overhead`; a null text has no bytes, a text of any length counts whole. A null id is a key
+    of its own ("null"). Equal ids go to the same shard and get places of their own. An empty table has no rows. Columns
+    other than id and text are ignored, whatever their names.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_column).alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.withColumn("shard", shard_of(key, tree)).withColumn("grown_shard", shard_of(key, more) if more else F.lit(None).cast("int"))
-    salts = slots or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    return numbered(rows, "shard", ["doc_id", "size", "text_crc32"], "slot", salts)
+    own, id_ = positional(docs), at_column(docs, id_column)
+    key = F.coalesce(id_.cast("string"), F.lit("null"))
+    text = F.coalesce(at_column(docs, text_column).cast("string"), F.lit("")).cast("binary")
+    rows = own.select(id_.alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text).alias("text_crc32"), shard_of(key, tree).alias("shard"), (shard_of(key, more) if more else F.lit(None).cast("int")).alias("grown_shard"))
+    return numbered_in_order(rows, "shard", ["doc_id", "size", "text_crc32"], "slot")
