@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches
+from .common import at_column, checkpoint, map_batches, positional
 
 UNIT = 192
 RATE = 8000
@@ -217,18 +217,19 @@ def rebuilt(stored: DataFrame) -> DataFrame:
     return alone.dropDuplicates(["media_sha256"]).unionByName(lists.mapInArrow(joined, READ))
 
 
-def chunked_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def chunked_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = SHARED) -> DataFrame:
     """A row for each document with what was read back from its stored media.
 
     A null text is empty, and an empty one is UNIT spaces. Equal texts share one media and all its values; repeated rows
-    and ids each get a row; other columns are ignored.
+    and ids each get a row; an empty table has none; texts of any length are stored whole; other columns are ignored,
+    whatever their names. Beyond `most` shared digests every chunk goes through the join; the values are the same.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = positional(docs).select(at_column(docs, id_column).cast("long").alias("doc_id"), at_column(docs, text_column).cast("string").alias("text"))
     lists = checkpoint(manifests(rows))
     uses = lists.select("media_sha256", F.explode("digests").alias("digest"))
     twice = checkpoint(uses.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"))
     shared = None
-    if twice.count() <= SHARED:
+    if twice.count() <= most:
         shared = np.sort(twice.toArrow().column(0).to_numpy())
-    media = rebuilt(store(rows, shared))
+    media = rebuilt(checkpoint(store(rows, shared)))  # written once, read by kind
     return lists.select("doc_id", "n_bytes", "media_sha256").join(media, "media_sha256")
