@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import LOWER, LOWER_WORD, U64, byte_class, checkpoint, list_array, map_batches, mixed, slices, span_hashes, utf8, word_spans
+from .common import LOWER, LOWER_WORD, U64, at_column, byte_class, checkpoint, list_array, map_batches, mixed, positional, slices, span_hashes, utf8, word_spans
 from .jaccard_join import classified
 from .sampling import labelled_sample
 
@@ -138,13 +138,15 @@ def train(places_: np.ndarray, begin: np.ndarray, y: np.ndarray, keys: np.ndarra
     return Model(keys, weights[1:].astype(np.float64), float(bias[0]), moves)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", toxic: int = 2000, clean: int = 6000, support: int = 6, odds: float = 20.0, chains: int = 600) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", toxic: int = 2000, clean: int = 6000, support: int = 6, odds: float = 20.0, chains: int = 600, words: int = 400_000, longest: int = 50_000) -> Model | None:
     """Learns from about `toxic` and `clean` labelled texts; None if either label has none.
 
     First pass: the sets of features of sampled texts, counted by Spark once for each component of near copies (three words,
     0.8, as op6 links them) and label. Features of at least `support` toxic groups that are `odds` times likelier there mark toxic tokens; the
-    driver gets VOCABULARY features at most. Second pass: the chains of about `chains` toxic and as many clean texts (all of a label that has no more in the sample) come
-    to the driver, which fits the weights to them.
+    driver gets VOCABULARY features at most. Second pass: the chains of about `chains` toxic and as many clean texts (all of a
+    label that has no more in the sample), but of about `words` words of each label at most, come to the driver, 32 bytes a
+    word, which fits the weights to them. Texts of over `longest` words (6 bytes each) are not taken for it. The same rows
+    give the same model however they are dealt. Null texts are empty, null labels and ids are left out.
     """
     sample = labelled_sample(docs, labels, label_column, {0: clean, 1: toxic}, id_column, text_column)
     sample = checkpoint(sample.select(F.pmod(F.xxhash64("text"), F.lit(1 << 61)).alias("id"), "text", "label"))
@@ -199,9 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         return step
 
     draw = F.pmod(F.xxhash64("text"), F.lit(10_000)) / 10_000.0
-    drawn = {int(r[0]): r[1] for r in sample.groupBy("label").count().collect()}  # two rows
-    share = F.when(F.col("label") > 0, min(1.0, chains / drawn[1])).otherwise(min(1.0, chains / drawn[0]))
-    rows = map_batches(sample.filter(draw < share).select("text", "label"), make_chains, "chain binary").toArrow()["chain"]
+    short = sample.filter(F.octet_length("text") <= 6 * longest)
+    drawn = {int(r[0]): min(1.0, chains / r[1], 6 * words / max(1, r[2])) for r in short.groupBy("label").agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).collect()}  # two rows
+    share = F.when(F.col("label") > 0, drawn.get(1, 0.0)).otherwise(drawn.get(0, 0.0))
+    rows = map_batches(short.filter(draw < share).select("text", "label"), make_chains, "chain binary").toArrow()["chain"]
     order = sorted(x.as_py() for x in rows)
     all_ = np.concatenate([np.frombuffer(r, "<i4").reshape(-1, len(_KINDS) + 2) for r in order] or [np.zeros((0, len(_KINDS) + 2), "<i4")])
     if not len(all_):
@@ -210,13 +213,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
 
 def score(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = (), at_least: float = 0.5) -> DataFrame:
-    """id, kept columns, score, n_toxic and spans: for each run of words with a marginal of at_least, its byte offsets and probability.
+    """doc_id, kept columns, score, n_toxic and spans: for each run of words with a marginal of at_least, its byte offsets and probability.
 
     The score is the probability that any word of the spans is toxic, taken as independent; without spans it is the
-    largest marginal. A text without words (null and empty ones too) scores 0. Without a model all scores are 0.
+    largest marginal. A text without words (null and empty ones too) scores 0. Without a model all scores are 0. Texts of any
+    length are read whole; a chain is a sentence, or CHAIN words of a longer one. Repeated rows score alike, an empty table
+    has no rows. A kept column of a result's name is replaced; other columns are ignored, whatever their names.
     """
     bound = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY weights
-    rows = docs.select(F.col(id_column).alias("doc_id"), *keep, F.col(text_column).cast("string").alias("_text"))
+    keep = tuple(c for c in keep if c not in ("doc_id", "score", "n_toxic", "spans"))
+    rows = positional(docs).select(at_column(docs, id_column).alias("doc_id"), *[at_column(docs, c).alias(f"k{k}") for k, c in enumerate(keep)], at_column(docs, text_column).cast("string").alias("_text"))
     span = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("p", DoubleType())])
     schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType()), StructField("n_toxic", IntegerType()), StructField("spans", ArrayType(span))])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
@@ -252,4 +258,4 @@ def score(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_
 
         return step
 
-    return map_batches(rows, make, schema)
+    return map_batches(rows, make, schema).toDF("doc_id", *keep, "score", "n_toxic", "spans")
