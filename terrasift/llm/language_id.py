@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, map_batches, mixed, slices, utf8
+from .common import U64, at_column, map_batches, mixed, positional, slices, utf8
 from .sampling import sample_by_label
 
 BUCKETS = 4096
@@ -77,11 +77,14 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return c
 
 
-def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", per_label: int = 600, clusters: int = 4, spread: float = 6.0) -> Model:
-    """Learns from about per_label texts of each label; rows without text or label are left out.
+def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", per_label: int = 600, most: int = 12_000, clusters: int = 4, spread: float = 6.0) -> Model:
+    """Learns from about per_label texts of each label, fewer where labels are so many that it were over `most` texts in all;
+    rows without text or label are left out.
 
-    The sampled rows come to the driver as n-gram counts: per_label * labels * 16 KB at most, however long the texts.
+    The sampled rows come to the driver as n-gram counts: `most` times 16 KB (200 MB) at most, however long the texts.
     """
+    labels_ = labelled.filter(F.col(label_column).isNotNull()).select(F.col(label_column).cast("string").alias("l")).distinct().count()
+    per_label = min(per_label, max(1, most // max(1, labels_)))
     rows = labelled.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(label_column).cast("string").alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
     sample = sample_by_label(rows, "label", per_label, "doc_id")
 
@@ -112,13 +115,16 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", reject: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, kept columns, lang_pred, score (the cosine, 0 to 1), rejected.
+    """doc_id, kept columns, lang_pred, score (the cosine, 0 to 1), rejected.
 
     A text that is null or has no letter is `und` with score 0, and so is every text if the model learned nothing. A
     rejected text is `und` too if `reject` is set; otherwise it keeps the nearest language. Ties go to the first label.
+    Repeated rows are predicted alike, texts of any length are read whole, an empty table has no rows. A kept column of a
+    result's name is replaced; columns that aren't kept are ignored, whatever their names.
     """
     bound = docs.sparkSession.sparkContext.broadcast(model)  # clusters * labels * 16 KB
-    rows = docs.select(F.col(id_column).alias("doc_id"), *keep, F.col(text_column).cast("string").alias("_text"))
+    keep = tuple(c for c in keep if c not in ("doc_id", "lang_pred", "score", "rejected"))
+    rows = positional(docs).select(at_column(docs, id_column).alias("doc_id"), *[at_column(docs, c).alias(f"k{k}") for k, c in enumerate(keep)], at_column(docs, text_column).cast("string").alias("_text"))
 
     def make():
         m = bound.value
@@ -151,4 +157,4 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
     schema = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
-    return map_batches(rows, make, schema)
+    return map_batches(rows, make, schema).toDF("doc_id", *keep, "lang_pred", "score", "rejected")

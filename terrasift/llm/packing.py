@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_class, checkpoint, map_batches, numbered, slices, span_hashes, utf8
+from .common import U64, at_column, byte_class, checkpoint, map_batches, numbered, positional, slices, span_hashes, utf8
 
 #: Distinct words whose ids a task remembers before it starts anew.
 CACHE_WORDS = 2_000_000
@@ -195,7 +195,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
         return step
 
-    return map_batches(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")), make, PIECES)
+    return map_batches(positional(docs).select(at_column(docs, id_column).cast("long").alias("doc_id"), at_column(docs, text_column).cast("string").alias("text")), make, PIECES)
 
 
 @dataclass

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import LOWER, LOWER_WORD, U64, byte_class, map_batches, slices, span_hashes, utf8, word_spans
+from .common import LOWER, LOWER_WORD, U64, at_column, byte_class, map_batches, positional, slices, span_hashes, utf8, word_spans
 from .sampling import labelled_sample
 
 BUCKETS = 2048
@@ -143,10 +143,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
 
 def score(docs: DataFrame, model: Model | None, text_column: str = "text", out: str = "score") -> DataFrame:
-    """docs with the probability of label 1 added; a null text counts as empty. Without a model all scores are 0.5."""
+    """docs with the probability of label 1 added as `out`, which replaces a column of that name; other columns are kept,
+    whatever their names.
+
+    A null text counts as empty, repeated rows score alike, a text of any length is read whole, an empty table stays
+    empty. Without a model all scores are 0.5.
+    """
     bound = docs.sparkSession.sparkContext.broadcast(model)  # some 100 KB
-    columns = docs.columns
-    rows = docs.select(*columns, F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_scored_text"))
+    rows = positional(docs).withColumn("_text", F.coalesce(at_column(docs, text_column).cast("string"), F.lit("")))
+    names = rows.columns[:-1]
 
     def make():
         m = bound.value
@@ -158,8 +163,19 @@ def score(docs: DataFrame, model: Model | None, text_column: str = "text", out:
                 for p in range(a, b, 256):
                     q = min(b, p + 256)
                     scores.append(m.scores(features(data[at[p] : at[q]], at[p : q + 1] - at[p])) if m else np.full(q - p, 0.5))
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores), pa.float64())], names=[*columns, out])
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores), pa.float64())], names=[*names, "_score"])
 
         return step
 
-    return map_batches(rows, make, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+    scored = map_batches(rows, make, StructType([*rows.schema.fields[:-1], StructField("_score", DoubleType())]))
+    kept = [(f"c{k}", c) for k, c in enumerate(docs.columns) if c != out]
+    return scored.select(*[c for c, _ in kept], "_score").toDF(*[c for _, c in kept], out)
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float, text_column: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score `least` or more; without a model that is 0.5 for each."""
+    fresh = "score"
+    while fresh in docs.columns:
+        fresh += "_"
+    own = score(docs, model, text_column, fresh).toDF(*[f"c{k}" for k in range(len(docs.columns))], "_score")
+    return own.filter(F.col("_score") >= least).drop("_score").toDF(*docs.columns)
