@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the risk rules, as the planning model defines them.
@@ -37,7 +37,7 @@ def add(parts: list[Column]) -> Column:
 def risk_score(text: Column, delay_minutes: Column) -> Column:
     """Points for age, patterns, contact, vehicles, interstates and delay; a null text has none."""
     t = F.coalesce(text, F.lit(""))
-    age = F.expr("1").cast("int") * F.nullif(F.regexp_extract(t, r"(\d{1,2})-year-old", 1), F.lit("")).cast("int")
+    age = F.nullif(F.regexp_extract(t, r"(\d{1,2})-year-old", 1), F.lit("")).cast("int")
     young = F.when(age <= 8, 3).when(age <= 12, 2).otherwise(0)
     hours = F.nullif(F.regexp_extract(t, r"(?i)reported missing (\d{1,3}) hours?", 1), F.lit("")).cast("int")
     late = F.when(delay_minutes >= 240, 2).when(delay_minutes >= 120, 1).when(delay_minutes.isNotNull(), 0).when(hours >= 24, 2).when(hours >= 12, 1).otherwise(0)
@@ -127,3 +127,68 @@ def repaired(text: Column) -> Column:
 def distinct_folded(values: Column) -> Column:
     """First of each value, whatever its case, in order."""
     return F.aggregate(values, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(F.trim(x))), acc).otherwise(F.concat(acc, F.array(F.trim(x)))))
+
+
+def state(name: Column) -> Column:
+    """The abbreviation of the home state's usual spellings; other names as they are (fixed values)."""
+    t = F.trim(name)
+    return F.when(t.isin("Virginia", "va", "Va"), "VA").otherwise(t)
+
+
+def first_of(*values: Column) -> Column:
+    return F.coalesce(*values)
+
+
+def filled(value: Column, other: Column) -> Column:
+    """value, or other where it is null, empty or Unknown."""
+    return F.when(F.lower(F.coalesce(value, F.lit(""))).isin("", "unknown"), other).otherwise(value)
+
+
+def seed(text: Column) -> dict[str, Column]:
+    """Name, age and gender that a narrative tells; female is looked for before male, as whole words."""
+    got = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return {"name": got(r"Missing Person: ([A-Za-z_0-9]+)"), "age": got(r"(\d{1,2})-year-old").cast("int"), "gender": F.when(found(text, r"\bfemale\b"), "F").when(found(text, r"\bmale\b"), "M")}
+
+
+def highways(text: Column) -> Column:
+    """Distinct names of highways in a text."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(?:I-\d{1,3}|US-\d{1,3}|VA-\d{1,3})\b"), F.lit(0)))
+
+
+def risk_flags(age: Column, text: Column, delay: Column, sightings: Column, persons: Column, zones: Column, high: Column) -> Column:
+    """The ten risk flags of a case, sorted (names and words are fixed values)."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    any_of = lambda *words: add_or([F.contains(t, F.lit(w)) for w in words])
+    flags = [
+        (age <= 12, "minor_under_13"), (any_of("vehicle"), "involved_vehicle"), (any_of("i-95", "i-81", "i-64", "us-58"), "interstate_corridor"), (any_of("offered a ride", "unknown adult", "asking the child questions"), "adult_engagement"),
+        (delay >= 360, "delayed_report_6h_plus"), (sightings, "has_follow_up_sightings"), (persons, "persons_of_interest_identified"), (any_of("transit", "bus", "station"), "transit_related"), (zones, "has_search_zones"), (zones & high, "high_priority_search_zones"),
+    ]
+    return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in flags])))
+
+
+def add_or(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out | p
+    return out
+
+
+def first_sentences(text: Column, n: int) -> Column:
+    """The first n sentences with single spaces."""
+    parts = F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]?"), F.lit(0))
+    clean = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.slice(F.filter(clean, lambda x: x != ""), 1, n)
+
+
+def mock_plausibility(base: Column, kind: Column, text: Column) -> Column:
+    """base raised by the kind of zone and the words of a narrative, within 0 and 1 (fixed values)."""
+    k, t = F.lower(kind), F.lower(F.coalesce(text, F.lit("")))
+    has = lambda c, w: F.contains(c, F.lit(w))
+    by_kind = F.when(has(k, "school"), 0.1).when(has(k, "park"), 0.05).when(has(k, "residential"), 0.15).otherwise(0.0)
+    by_text = F.when(has(t, "school"), 0.1).otherwise(0.0) + F.when(has(t, "park"), 0.05).otherwise(0.0) + F.when(has(t, "home") | has(t, "house"), 0.1).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + by_kind + by_text))
+
+
+def top_or_least(df: DataFrame, by: str, key: str, top: int | None, least: float) -> DataFrame:
+    """The first `top` rows by falling value; only without a number those of at least `least`."""
+    return df.orderBy(F.desc(F.round(by, 12)), key).limit(top) if top else df.filter(F.col(by) >= least)
