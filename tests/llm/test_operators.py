@@ -1,6 +1,7 @@
 """Each operator on awkward rows against a brute-force version: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -118,6 +119,16 @@ def test_sharding(docs, none, spark):
     assert all(sorted(v) == list(range(len(v))) for v in places.values())
     many = shard(spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), tree, tree.grown()).groupBy("shard").count().collect()
     assert len(many) == 40 and max(r["count"] for r in many) < 640
+    def draw(key, name, weight):
+        return -math.log((int(hashlib.md5(f"{key}/{name}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)) / weight
+
+    def plain(key, t):
+        r = min(range(len(t.regions)), key=lambda r: draw(key, r, sum(map(sum, t.regions[r]))))
+        k = min(range(len(t.regions[r])), key=lambda k: draw(key, f"{r}/{k}", sum(t.regions[r][k])))
+        s = min(range(len(t.regions[r][k])), key=lambda s: draw(key, f"{r}/{k}/{s}", t.regions[r][k][s]))
+        return sum(len(x) for y in t.regions[:r] for x in y) + sum(map(len, t.regions[r][:k])) + s
+
+    assert all((r.shard, r.grown_shard) == tuple(plain("null" if r.doc_id is None else r.doc_id, t) for t in (tree, tree.grown())) for r in got)
     heavier = Tree((((1.0,), (1.0,)), ((1.0, 3.0),)))
     light = Tree((((1.0,), (1.0,)), ((1.0, 1.0),)))
     ids = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
@@ -127,45 +138,59 @@ def test_sharding(docs, none, spark):
 
 
 def test_fixity(spark):
-    from terrasift.llm.fixity import audit, leaves, levels, records, replica_root, rotted
+    from terrasift.llm.fixity import audit, damaged, digests, leaves, levels, placed, records, replica_root, rotted, written
 
     pages = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}</p>") for k in range(3000)] + [(None, None, None), (7, None, "twice")], "page_id long, url string, html string")
     stored = records(pages)
-    assert audit(stored, stored).filter("status <> 'intact' OR file_differs").count() == 0
-    lost = rotted(stored).filter("NOT (file = 1 AND number = 5)").unionByName(stored.filter("file = 0 AND number = 3").withColumn("number", F.lit(1500).cast("long")))
-    found = {(r.file, r.number): r.status for r in audit(stored, lost).filter("status <> 'intact'").collect()}
-    want = {(r.file, r.number): "corrupt" for r in stored.collect() if r.page_id is not None and r.page_id % 101 == 7} | {(1, 5): "missing", (0, 1500): "extra"}
-    assert found == want
-    files = lambda s: levels(leaves(s), 3)[-1].select("file", "hash")
-    assert replica_root(files(stored)).first() != replica_root(files(rotted(stored))).first()
-    assert audit(stored.limit(0), stored.limit(0)).count() == 0
+    same = audit(stored, stored)
+    assert same.count() == 3002 and same.filter("status <> 'intact' OR file_differs OR replica_differs").count() == 0
+    places = placed(digests(written(pages), rotted)).persist()
+    want = {}
+    for r in places.collect():
+        k = -1 if r.page_id is None else r.page_id % 101
+        if r.file == 0 and r.number in (2, 3):
+            want[r.file, r.number] = "moved"
+        elif k in (7, 11, 13):
+            want[r.file, r.number] = {7: "corrupt", 11: "resized", 13: "missing"}[k]
+    want[0, places.filter("file = 0").count()] = "extra"
+    got = audit(stored, damaged(places)).collect()
+    assert {(r.file, r.number): r.status for r in got if r.status != "intact"} == want and len(got) == 3003
+    assert {(r.number, r.moved_to) for r in got if r.status == "moved"} == {(2, 3), (3, 2)}
+    assert all(r.replica_differs for r in got) and {r.file for r in got if not r.file_differs} == {r.file for r in got if r.file < 0}
+    root = lambda t: replica_root(levels(leaves(t), 3)[-1].select("file", "hash"))
+    assert root(stored) == root(records(pages.repartition(7))) != root(damaged(places))
+    assert audit(stored.limit(0), stored.limit(0)).count() == 0 and audit(stored, stored.limit(0)).filter("status = 'missing'").count() == 3002
 
 
 def test_fixity_of_files_with_repeated_ids(spark):
-    from terrasift.llm.fixity import audit, records, rotted
+    from terrasift.llm.fixity import audit, damaged, digests, placed, record_bytes, rotted, written
 
     same = spark.range(5000).select(F.lit(7).cast("long").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("t"), F.col("id") % 4700).alias("html"))
     null = spark.range(5000).select(F.lit(None).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit("same").alias("html"))
     few = spark.range(3).select((F.col("id") + 6).alias("page_id"), F.lit("u").alias("url"), F.lit("few").alias("html"))
-    stored = records(same.unionByName(null).unionByName(few)).persist()
+    pages = same.unionByName(null).unionByName(few)
+    stored = placed(digests(written(pages), rotted)).persist()
+    want = sorted((r.page_id or 0, hashlib.sha256(r.x).hexdigest(), len(r.x)) for r in pages.select("page_id", record_bytes(F.col("page_id"), F.col("url"), F.col("html").cast("binary")).alias("x")).collect())
     files = {}
     for r in stored.collect():
-        files.setdefault(r.file, []).append((r.number, r.offset, r.length, r.page_id or 0, hashlib.sha256(r.record).hexdigest()))
-    assert sorted(map(len, files.values())) == [5000, 5003]
+        files.setdefault(r.file, []).append((r.number, r.offset, r.length, r.page_id or 0, r.digest))
+    assert sorted(map(len, files.values())) == [5000, 5003] and sorted((r[3], r[4], r[2]) for rs in files.values() for r in rs) == want
     for rs in files.values():
         rs.sort()
         assert [r[0] for r in rs] == list(range(len(rs)))
         assert [r[1] for r in rs] == [0, *np.cumsum([r[2] for r in rs])[:-1].tolist()]
         assert [r[3:] for r in rs] == sorted(r[3:] for r in rs)
-    got = audit(stored, rotted(stored)).collect()
-    assert len(got) == 10003 and len({(r.file, r.number) for r in got}) == 10003
-    assert len({(r.file, r.good_root, r.other_root) for r in got}) == 2
-    assert sum(r.status == "corrupt" for r in got) == 5001 and {r.page_id for r in got if r.status == "corrupt"} == {7}
+    got = audit(stored, damaged(stored, files=1 << 40)).collect()
+    extra = sum(r.status == "extra" for r in got)
+    assert extra == 1 and len(got) == 10004 and len({(r.file, r.number) for r in got}) == 10004
+    assert {r.page_id for r in got if r.status == "corrupt"} == {7}
 
 
 def test_media(docs, none):
     from terrasift.llm.media import chunked_media, chunks, cuts, wav
 
+    joined = sorted(map(str, chunked_media(docs, most=0).collect()))
+    assert joined == sorted(map(str, chunked_media(docs).collect()))  # with every chunk sent through the join, too
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in chunked_media(docs).collect()))
     want = []
     for d, t, *_ in rows():
@@ -185,11 +210,14 @@ def ngrams(t, n):
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-@pytest.mark.parametrize(("n", "threshold", "part"), [(3, 90, 2_000_000), (5, 80, 300)])
-def test_jaccard(spark, docs, none, n, threshold, part):
+@pytest.mark.parametrize(("n", "threshold", "most"), [(3, 90, 256), (5, 80, 4)])
+def test_jaccard(spark, docs, none, n, threshold, most):
     from terrasift.llm.jaccard_join import jaccard_join
 
-    extra = [(100 + k, " ".join(prose(500, 150).split()[: 150 - k]), None, None, None, None, None, None) for k in range(12)]
+    rest = (None,) * 6
+    extra = [(100 + k, " ".join(prose(500, 150).split()[: 150 - k]), *rest) for k in range(12)]
+    extra += [((1 << 62) + 5, prose(77, 90), *rest), ((1 << 63) - 1, prose(77, 90) + " end", *rest), (-7, prose(78, 90), *rest)]
+    extra += [(300 + k, " ".join(w if j != (k * 7) % 140 else f"odd{k}" for j, w in enumerate(prose(501, 150).split())), *rest) for k in range(30)]
     frame = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
     data = [*rows(), *extra]
     sets = [ngrams(r[1], n) for r in data]
@@ -204,19 +232,18 @@ def test_jaccard(spark, docs, none, n, threshold, part):
     for k, r in enumerate(data):
         if r[0] is not None:
             least[up[k]] = min(r[0], least.get(up[k], r[0]))
-    want = sorted(((r[0] is None, r[0] or 0, len(sets[k]), least.get(up[k], -1)) for k, r in enumerate(data)))
-    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard_join(frame, n, threshold, part=part).collect()))
+    want = sorted(((r[0] is None, r[0] or 0, len(sets[k]), str(least.get(up[k]))) for k, r in enumerate(data)))
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, str(r.component_id)) for r in jaccard_join(frame, n, threshold, most=most).collect()))
     assert got == want
     assert jaccard_join(none, n, threshold).count() == 0
 
 
-@pytest.mark.parametrize("part", [2_000_000, 300])
-def test_jaccard_repeated_rows_of_linked_texts(spark, part):
+def test_jaccard_repeated_rows_of_linked_texts(spark):
     from terrasift.llm.jaccard_join import jaccard_join
 
     text = prose(600, 150)
     data = [(i, t) for i, t in [(1, text), (2, text.rsplit(" ", 1)[0]), (None, text.rsplit(" ", 2)[0])] for _ in range(3)]
-    got = jaccard_join(spark.createDataFrame(data, "doc_id long, text string"), 5, 80, part=part).collect()
+    got = jaccard_join(spark.createDataFrame(data, "doc_id long, text string"), 5, 80).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1)] * 3 + [(1, 1)] * 3 + [(2, 1)] * 3
 
 
@@ -228,6 +255,8 @@ def test_one_of_each(docs):
     kept = [(r.doc_id, r.text) for r in out.collect()]
     assert sum(t == prose(1, 120) for _, t in kept) == 1 and (9, rows()[9][1]) in kept and 10 not in [d for d, _ in kept]
     assert [d for d, t in kept if not (t or "").strip()] != []
+    same = docs.sparkSession.createDataFrame([(5, prose(70, 50)), (5, prose(70, 50) + " x"), (5, prose(71, 50)), (4, prose(72, 50)), (5, prose(72, 50))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text == prose(72, 50)) for r in one_of_each(same).collect()) == [(4, True), (5, False), (5, False)]
 
 
 def test_prefix_tree_is_exact():
@@ -294,8 +323,11 @@ def test_spans(spark, docs, none):
 
     own = [r for r in rows() if r[0] is not None and not (r[0] == 3 and r[1] != "!!!")]
     frame = spark.createDataFrame(own, SCHEMA)
-    got = sorted((r.doc_id, r.text or "", r.n_removed) for r in dedup_spans(frame).collect())
-    assert got == sorted(brute_spans([(r[0], r[1]) for r in own], 2, 25))
+    want = sorted(brute_spans([(r[0], r[1]) for r in own], 2, 25))
+    for common, often in ((100_000, 1), (0, 32)):  # all broadcast, all joined
+        got = sorted((r.doc_id, r.text or "", r.n_removed) for r in dedup_spans(frame, common=common, often=often).collect())
+        assert got == want
+    assert dedup_spans(frame, words=0).filter("n_removed > 0").count() >= sum(w[2] > 0 for w in want)
     assert next(r for r in got if r[0] == 13)[2] > 3  # the second copy of the passage
     out = dedup_spans(docs)
     assert out.count() == len(rows()) and out.columns[: len(docs.columns)] == docs.columns
@@ -303,7 +335,7 @@ def test_spans(spark, docs, none):
 
 
 def test_decontamination(spark, docs, none):
-    from terrasift.llm.decontamination import clean, flagged, occurrences, report
+    from terrasift.llm.decontamination import clean, flagged, proximity, report
 
     long = rows()[8][1].split()
     items = [(1, " ".join(long[10:30])), (2, "two WORDS"), (3, None), (4, ""), (5, " ".join(long[40:53])), (6, "nowhere to be found at all")]
@@ -322,14 +354,50 @@ def test_decontamination(spark, docs, none):
                         hit.update(range(k, k + len(win)))
                         names.add(str(i))
         want.append((d is None, d or 0, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    got = [(r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in flagged(report(docs, bench)).collect()]
-    assert sorted(got) == sorted(want)
+    for block in (None, 3):
+        got = [(r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in flagged(report(docs, bench, block=block)).collect()]
+        assert sorted(got) == sorted(want)
     assert clean(docs, bench).columns == docs.columns
     assert clean(docs, bench).count() == sum(not w[-1] for w in want)
     assert report(none, bench).count() == 0 and report(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
-    gap = spark.createDataFrame([(1, "alpha beta and then gamma delta")], "doc_id long, text string")
-    near, _ = occurrences(gap, spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string"), rare=4, slop=2)
-    assert near.count() > 0
+    test = ["alpha", "beta", "gamma", "delta"]
+    r = random.Random(8)
+    texts = [(k, " ".join(r.choice([*test, "and", "then"]) for _ in range(12))) for k in range(40)] + [(40, "alpha beta and then gamma delta")]
+    found = {(x.doc_id, x.start) for x in proximity(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(test))], "item_id long, text string"), rare=4, slop=2).collect()}
+    assert found == {(d, s) for d, t in texts for s in range(-9, 16) if all(any(w == x and abs(p - place - s) <= 2 for p, w in enumerate(t.split())) for place, x in enumerate(test))} and (40, 1) in found
+
+
+def test_any_column_names(spark):
+    """Extra columns that clash with results or need quoting."""
+    from terrasift.llm import decontamination, jaccard_join, language_id, media, packing, quality, sharding, span_dedup, toxicity
+
+    names = ["doc_id", "text", "a.b", "score", "n_removed", "id", "c0", "key", "n", "_score", "spans"]
+    docs = spark.createDataFrame([(1, prose(1, 60), *"abcdefghi"), (2, prose(1, 60), *"abcdefghi"), (3, None, *"abcdefghi")], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    bench = spark.createDataFrame([(1, prose(1, 60), "x")], "item_id long, text string, `a.b` string")
+    scored = quality.score(docs, None)
+    assert scored.columns == [n for n in names if n != "score"] + ["score"] and scored.first()["score"] == 0.5
+    assert quality.accepted(docs, None, 0.3).columns == names and quality.accepted(docs, None, 0.6).count() == 0
+    assert toxicity.score(docs, None, keep=("score", "a.b")).columns == ["doc_id", "a.b", "score", "n_toxic", "spans"]
+    assert language_id.predict(docs, language_id.fit(docs.withColumnRenamed("id", "lang")), keep=("score", "a.b")).columns == ["doc_id", "a.b", "lang_pred", "score", "rejected"]
+    assert span_dedup.dedup_spans(docs).columns == [n for n in names if n != "n_removed"] + ["n_sentences", "n_removed"]
+    assert span_dedup.dedup_spans(docs, counts=False).columns == names
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == names and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    left = decontamination.clean(docs, bench)
+    assert left.columns == names and [r.doc_id for r in left.collect()] == [3]
+    for table in (packing.pieces(docs, TOKENIZER), media.chunked_media(docs), sharding.shard(docs, sharding.Tree.balanced(4)), jaccard_join.jaccard_join(docs), decontamination.report(docs, bench)):
+        assert table.count() == 3
+
+
+def test_shuffled_ways_equal_broadcast_ones(spark, docs, monkeypatch):
+    """With no byte to broadcast, results stay."""
+    from terrasift.llm import common, decontamination, jaccard_join
+
+    bench = spark.createDataFrame([(1, " ".join(rows()[8][1].split()[10:80]))], "item_id long, text string")
+    run = lambda: (sorted(map(str, jaccard_join.one_of_each(docs).collect())), sorted(map(str, decontamination.clean(docs, bench).collect())), sorted(map(str, decontamination.report(docs, bench).collect())))
+    want = run()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert run() == want and len(want[1]) < len(rows())
 
 
 def test_language(spark, docs, none):
@@ -395,6 +463,17 @@ def test_toxicity_learns_from_every_text_of_a_small_sample(spark, monkeypatch):
     assert seen == [(40 * 31 + 40 * 32, 40)]
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    from terrasift.llm import toxicity
+
+    r = random.Random(9)
+    data = [(k, " ".join([*r.sample(WORDS, 30), *(["vilest"] if k % 2 else [])])) for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(90)], "doc_id long, toxic int")
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    one, two = (toxicity.fit(f, labels) for f in (frame.repartition(1), frame.repartition(5, "text")))
+    assert np.array_equal(one.keys, two.keys) and np.array_equal(one.weights, two.weights) and one.bias == two.bias
+
+
 def test_chain_marginals_by_enumeration():
     from itertools import product
 
@@ -423,15 +502,68 @@ def test_factorisation_identity():
     assert np.allclose(m.logits(x), plain)
 
 
-def test_pipeline_keeps_columns(spark):
+def test_pipeline_by_brute_force(spark):
+    """Each stage on what the one before it kept, against a plain version of it."""
     import corpus_pipeline as c
 
+    from terrasift.llm import quality
+    from terrasift.llm.common import id_remainder
+
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in c.STAGES] == ["quality", "near_duplicates", "passages", "decontamination", "packing"]
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").filter(id_remainder("doc_id", 5) != 0))
+    kept = []
+    for r in docs.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        x = quality.standard(quality.features(raw, np.array([0, len(raw)])), model.mean, model.scale)[0].astype(float)
+        pairs = sum(((x @ model.pairs[:, f]) ** 2 - (x**2) @ (model.pairs[:, f] ** 2)) / 2 for f in range(quality.RANK))
+        if 1 / (1 + math.exp(-max(-30, min(30, model.bias + x @ model.linear + pairs)))) >= c.LEAST_QUALITY:
+            kept.append((r.doc_id, r.text))
+    got = c.quality(spark, docs, sf)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(d for d, _ in kept)
+
+    sets, up = [ngrams(t, 5) for _, t in kept], list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = up[i], up[j]
+                up = [b if x == a else x for x in up]
+    first = {}
+    for k, (d, _) in enumerate(kept):
+        first[up[k]] = min(d, first.get(up[k], d))
+    kept = [(d, t) for k, (d, t) in enumerate(kept) if not sets[k] or first[up[k]] == d]
+    got = c.near_duplicates(spark, got, sf)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(d for d, _ in kept)
+
+    kept = sorted((d, t) for d, t, _ in brute_spans(kept, 2, 25))
+    got = c.passages(spark, got, sf)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in got.collect()) == kept
+
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: word.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    windows = {tuple(w[k : k + 13]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for w in [cut(r.text)] for k in range(max(1, len(w) - 12)) if w}
+    sizes, clean = {len(w) for w in windows}, []
+    for d, t in kept:
+        w, hit = cut(t), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+        if not hit or 20 * len(hit) < len(w):
+            clean.append(d)
+    got = c.decontamination(spark, got, sf)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == clean
+
     out = c.run(spark, sf)
-    assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
-    assert c.quality(spark, docs, sf).columns == docs.columns
+    packed = out.collect()
+    assert {r.doc_id for r in packed} == set(clean) and sorted(map(str, c.packing(spark, got, sf).drop("sequence_id", "offset").collect())) == sorted(map(str, out.drop("sequence_id", "offset").collect()))
+    ends = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048
 
 
 def test_word_hash_depends_on_the_word_alone():
