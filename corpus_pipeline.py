@@ -1,5 +1,8 @@
 """A corpus pipeline: STAGES are applied to the documents one after another, each to all that the one before it kept.
 
+Null and empty texts count as empty; rows that repeat are one document for near_duplicates and alike for the others; texts
+of any length are read whole; an empty table stays empty through every stage; columns of any name are kept until packing.
+
 quality          the factorisation machine's rejects go
 near_duplicates  one document of each component of the n-gram Jaccard join stays (5 words, 0.8)
 passages         sentences of repeated spans are cut, all but their first occurrence
@@ -18,7 +21,7 @@ from terrasift.llm.common import checkpoint_dir, id_remainder, release
 from terrasift.llm.decontamination import clean
 from terrasift.llm.jaccard_join import one_of_each
 from terrasift.llm.packing import best_fit_packing
-from terrasift.llm.quality import fit, score
+from terrasift.llm.quality import accepted, fit
 from terrasift.llm.queries import table
 from terrasift.llm.span_dedup import dedup_spans
 
@@ -27,8 +30,7 @@ LEAST_QUALITY = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = fit(docs, table(spark, sf_dir, "labels").filter(id_remainder("doc_id", 5) != 0))
-    return score(docs, model, out="_score").filter(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    return accepted(docs, fit(docs, table(spark, sf_dir, "labels").filter(id_remainder("doc_id", 5) != 0)), LEAST_QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage's rows are written as Parquet in the shared folder and read by the next."""
+    """The rows of the last stage; each stage's rows are written as Parquet in the shared folder, read by the next, and deleted after it."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         schema = out.schema
@@ -67,4 +70,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.schema(schema).parquet(f"{folder}/{name}")
         del out
         release(spark)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return docs
