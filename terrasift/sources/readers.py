@@ -26,12 +26,59 @@ ZONE = "zone_id STRING, center_lat DOUBLE, center_lon DOUBLE, radius_miles DOUBL
 def json_objects(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, body): the JSON objects of every file, whether one a file, in an array, one a line or printed over lines.
 
-    A file is read as one value, so files should be of moderate size; objects that don't parse are kept for the caller.
+    Files of one path are laid out alike. If the first line is an object of its own, files are read by lines, so that a large
+    one is split over tasks; otherwise a file is one value and should be of moderate size. Objects that don't parse are kept
+    for the caller.
     """
+    line = spark.read.text(path).filter(F.trim("value") != "").limit(1)
+    if line.filter(F.startswith(F.trim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull()).head(1):
+        rows = spark.read.text(path).filter(F.trim("value") != "")
+        return rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("body"))
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
     array = F.from_json("value", "ARRAY<STRING>")
     parts = F.when(F.startswith("value", F.lit("[")), array).otherwise(F.split("value", r"(?<=\})\s*\n\s*(?=\{)"))
-    return raw.select("file", F.posexplode(parts).alias("pos", "body")).filter(F.trim("body") != "")
+    return raw.select("file", F.posexplode(parts).alias("pos", "body")).filter(F.trim("body") != "").withColumn("pos", F.col("pos").cast("long"))
+
+
+def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The one JSON document of each file; a file that isn't one is an error, as is a path without files."""
+    raw = spark.read.text(path, wholetext=True)
+    bad = F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 80)))
+    return raw.select(F.from_json(F.when(F.try_parse_json("value").isNull(), bad).otherwise(F.col("value")), schema).alias("d")).select("d.*")
+
+
+def results(spark: SparkSession, path: str, schema: str, key: str, needed: str) -> DataFrame:
+    """Results by key, the last of a key, without those that lack `needed`."""
+    rows = json_objects(spark, path).select("file", "pos", F.from_json("body", schema).alias("d")).filter(F.col(f"d.{needed}").isNotNull())
+    return rows.groupBy(F.col(f"d.{key}").alias("_key")).agg(F.max_by("d", F.struct("file", "pos")).alias("d")).select("d.*")
+
+
+def findings(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """(value, pos): the lists `fields` of all files as one list, each value once whatever its case, in order of first sight."""
+    schema = ", ".join(f"{f} ARRAY<STRING>" for f in fields)
+    d = json_objects(spark, path).select("file", "pos", F.from_json("body", schema).alias("d"))
+    whole = F.concat(*[F.transform(F.coalesce(F.col(f"d.{f}"), F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("field"), F.trim(x).alias("value"))) for k, f in enumerate(fields)])
+    rows = d.select("file", "pos", F.posexplode(whole).alias("place", "x")).filter("x.value <> ''")
+    first = rows.groupBy(F.lower("x.value").alias("low")).agg(F.min(F.struct("file", "pos", "place", F.col("x.value").alias("value"))).alias("m"))
+    return first.select("low", "m.value", "m.file", "m.pos", "m.place")
+
+
+def corridors(spark: SparkSession, lines: str | None, roads: str | None = None) -> DataFrame:
+    """(line, part, x1, y1, x2, y2): segments of the line features of a GeoJSON file; else of a road list; else none."""
+    segment = "line STRING, part INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
+    if lines:
+        schema = "ARRAY<STRUCT<properties: MAP<STRING, STRING>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
+        f = spark.read.text(lines, wholetext=True).select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), schema)).alias("pos", "f"))
+        single = F.array(F.from_json("f.geometry.coordinates", "ARRAY<ARRAY<DOUBLE>>"))
+        paths = F.when(F.col("f.geometry.type") == "LineString", single).when(F.col("f.geometry.type") == "MultiLineString", F.from_json("f.geometry.coordinates", "ARRAY<ARRAY<ARRAY<DOUBLE>>>"))
+        rows = f.select(F.coalesce(F.col("f.properties")["name"], F.col("pos").cast("string")).alias("line"), F.explode(paths).alias("p"))
+    elif roads:
+        schema = "ARRAY<STRUCT<name: STRING, coordinates: ARRAY<ARRAY<DOUBLE>>>>"
+        rows = spark.read.text(roads, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("r")).select(F.col("r.name").alias("line"), F.col("r.coordinates").alias("p"))
+    else:
+        return spark.createDataFrame([], segment)
+    pairs = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")))
+    return rows.filter("size(p) > 1").select("line", F.posexplode(pairs).alias("part", "s")).select("line", "part", "s.*")
 
 
 def cases(spark: SparkSession, path: str, schema: str = CASE) -> DataFrame:
@@ -102,7 +149,7 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, properties map, ring): polygon features of a GeoJSON file, by their outer ring."""
+    """(pos, properties map, ring): polygon features of a GeoJSON file, by their outer ring; other geometries have none."""
     schema = "ARRAY<STRUCT<properties: MAP<STRING, STRING>, geometry: STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>>>"
     raw = spark.read.text(path, wholetext=True)
     f = raw.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), schema)).alias("pos", "f"))
@@ -131,6 +178,11 @@ def plan_document(horizons: DataFrame, rings: DataFrame) -> DataFrame:
     return a.crossJoin(b).select(F.to_json(F.struct("sectors", "rings")).alias("plan"))
 
 
+def write_document(df: DataFrame, path: str) -> None:
+    """All rows (a bounded report) as one JSON array in one file."""
+    df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def digest(params: Column) -> Column:
     """Ten hex digits that name a set of parameters."""
     return F.substring(F.sha1(params.cast("binary")), 1, 10)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,8 @@ def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder, its lineage cut."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name inside the shared folder."""
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
