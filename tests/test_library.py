@@ -81,3 +81,56 @@ def test_query_equals_sql(spark, duck, name):
     got, want = registry.queries()[name](spark, SF).toPandas(), duck.sql(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert keys(got) == keys(want)
+
+
+def test_settings_and_rules(spark):
+    from terrasift import settings
+
+    base = {"rl": {"ks": [1], "x": 2}, "n": 1}
+    assert settings.merged(base, {"rl": {"x": 3}, "n": 4}) == {"rl": {"ks": [1], "x": 3}, "n": 4} and base["rl"]["x"] == 2
+    assert settings.missing_columns(["b", "a", "c"], ["a"]) == ["b", "c"]
+    with pytest.raises(ValueError):
+        settings.need_unit("EPSG:4326", "metres")
+    schema = {"required": ["a"], "properties": {"a": {"type": "integer"}, "b": {"required": ["c"], "properties": {"c": {"enum": ["x"], "type": "string"}}}}}
+    rows = spark.createDataFrame([('{"a": 1, "b": {"c": "x"}}',), ('{"a": "z", "b": {"c": "y"}}',), ("{}",)], "j string")
+    got = [r[0] for r in rows.select(settings.schema_issues(schema, F.col("j"))).collect()]
+    assert got == [[], ["a: type", "b.c: enum"], ["a: required", "b.c: required"]]
+
+
+def test_nearest_widens_its_reach(spark):
+    r = [(k, float((k * 37) % 101), float((k * 53) % 97)) for k in range(60)] + [(60, 5000.0, 5000.0)]
+    df = spark.createDataFrame(r, "id long, x double, y double")
+    side = lambda p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    pairs = lambda a, b, e: joins.planar_join(a, b, e).filter("l_id <> r_id")
+    got = {(x.l_id, x["rank"]): x.r_id for x in joins.nearest(side("l"), side("r"), "l_id", 3, 4.0, [F.round("dist", 9), F.col("r_id")], pairs, 20000.0).collect()}
+    for i, x, y in r:
+        near = sorted((round(math.hypot(x - u, y - v), 9), j) for j, u, v in r if j != i)[:3]
+        assert [got[i, k + 1] for k in range(3)] == [j for _, j in near]
+
+
+def test_stream_drops_late_rows(spark, tmp_path):
+    from terrasift.streaming.sightings import windowed
+
+    schema = "ts timestamp, event_type string, value double"
+    for k, stamps in enumerate((["2024-01-10 01:00:00", "2024-01-10 02:00:00"], ["2024-01-13 01:00:00"], ["2024-01-10 03:00:00", "2024-01-13 02:00:00"])):
+        spark.createDataFrame([(s, "seen", 1.0) for s in stamps], "s string, event_type string, value double").select(F.col("s").cast("timestamp").alias("ts"), "event_type", "value").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        q = windowed(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = [(str(r.window.start)[:10], r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert got == [("2024-01-10", 2)]  # the late third sighting isn't counted
+
+
+def test_hulls_hold_their_points(spark):
+    from terrasift.plans import clusters
+
+    hulls, points = {}, {}
+    for r in sorted(registry.queries()["convex_hulls"](spark, SF.replace("0.001", "0.01")).collect(), key=lambda r: r.pos):
+        hulls.setdefault(r.label, []).append((r.x, r.y))
+    for r in clusters.clusters(spark, SF.replace("0.001", "0.01")).filter("label <> -1").collect():
+        points.setdefault(r.label, []).append((r.x, r.y))
+    assert set(hulls) == set(points)
+    for label, ring in hulls.items():
+        assert set(ring) <= set(points[label])
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            assert len(ring) < 3 or all((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) >= -1e-9 for x, y in points[label])
