@@ -330,7 +330,8 @@ def links(sets: DataFrame, threshold: int, most: int = SETS, grams: int = GRAMS)
     sizes = sets.select("rep", "size")
     weight = groups.join(sizes, groups["node"] == sizes["rep"]).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
     large = checkpoint(weight.filter((F.col("n") > most) | (F.col("w") > grams)).select("root"))
-    met = lambda dealt: checkpoint(connected(sets.join(dealt, "rep"), threshold))
+    # whole sets move to their trees only: they are too wide to be shuffled just to learn where they go
+    met = lambda dealt: checkpoint(connected(picked(sets, checkpoint(dealt), ["rep"], CLASS_BYTES), threshold))
     small = groups.join(large, "root", "left_anti").select(F.col("node").alias("rep"), F.col("root").alias("grp"))
     stars = met(small)
     if large.head(1):
