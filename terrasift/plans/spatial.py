@@ -121,18 +121,22 @@ c AS (SELECT d, sum(w) OVER (ORDER BY d) / (SELECT t FROM t) AS cum FROM b)"""
 
 
 def radial(spark, sf):
-    """(d, cum): mass within each distance. Weights are first summed by distance bins, so the running sum is over bins."""
+    """(d, cum): mass within each distance. Weights are summed by distance to 6 places, so a mile has at most a million rows;
+    the running sum is taken within each mile, upon that of the miles before it (some 12,450 at most, hence broadcast)."""
     d = F.round(G.haversine(F.col("lat"), F.col("lon"), 37.5, -78.5), 6)
-    b = V.points(spark, sf).groupBy(d.alias("d")).agg(F.sum("weight").alias("w"))
-    t = b.agg(F.sum("w").alias("t"))
-    return b.crossJoin(F.broadcast(t)).select("d", (F.sum("w").over(Window.orderBy("d")) / F.col("t")).alias("cum"))
+    b = V.points(spark, sf).groupBy(d.alias("d")).agg(F.sum("weight").alias("w")).withColumn("mile", F.floor("d"))
+    miles = b.groupBy("mile").agg(F.sum("w").alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.orderBy("mile").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    miles = miles.select("mile", before.alias("before"), F.sum("own").over(Window.partitionBy()).alias("t"))
+    within = F.sum("w").over(Window.partitionBy("mile").orderBy("d"))
+    return b.join(F.broadcast(miles), "mile").select("d", ((F.col("before") + within) / F.col("t")).alias("cum"))
 
 
-@query("points", RINGS + " SELECT q, round(coalesce(min(d) FILTER (cum >= q), max(d)), 5) AS miles FROM c, (VALUES (0.5::DOUBLE), (0.75), (0.9)) v(q) GROUP BY q")
+@query("points", RINGS + " SELECT q, coalesce(min(d) FILTER (cum >= q), max(d)) AS miles FROM c, (VALUES (0.5::DOUBLE), (0.75), (0.9)) v(q) GROUP BY q")
 def containment_rings(spark, sf):
     c = radial(spark, sf)
     q = spark.createDataFrame([(0.5,), (0.75,), (0.9,)], "q double")
-    return c.crossJoin(F.broadcast(q)).groupBy("q").agg(F.round(F.coalesce(F.min(F.when(F.col("cum") >= F.col("q"), F.col("d"))), F.max("d")), 5).alias("miles"))
+    return c.crossJoin(F.broadcast(q)).groupBy("q").agg(F.coalesce(F.min(F.when(F.col("cum") >= F.col("q"), F.col("d"))), F.max("d")).alias("miles"))
 
 
 @query("points", RINGS + " SELECT e.edge, round(arg_min(cum, d), 6) AS mass FROM c JOIN (SELECT 40.0::DOUBLE * i AS edge FROM range(1, 7) t(i)) e ON d >= e.edge GROUP BY e.edge")
