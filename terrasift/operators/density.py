@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import planar_miles
-
-
+from ..storage import saved
+from .joins import dealt, small
 
 def normalised(df: DataFrame, column: str, eps: float) -> DataFrame:
     """column over its sum; the sum is one row, joined back, so that no single task sorts the cells."""
@@ -49,13 +49,16 @@ def step(p: DataFrame, matrix: DataFrame) -> DataFrame:
 def kde_points(points: DataFrame, at: DataFrame, h: float) -> DataFrame:
     """(cell_id, density) of planar points (x, y) at cells (cell_id, cx, cy): normalised gaussian kernels of bandwidth h.
 
-    Points beyond 5 h weigh under 4e-6 of one near by, so only cells and points of neighbouring 5 h boxes meet.
+    Points beyond 5 h weigh under 4e-6 of one near by, so only cells and points of neighbouring 5 h boxes meet. Points of one
+    position are one with their number, and cells of one position have the same density, so only distinct positions meet.
     """
     n = points.agg(F.count(F.lit(1)).alias("n"))
     box = lambda c: F.floor(F.col(c) / F.lit(5.0 * h))
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = at.withColumn("bi", box("cx")).withColumn("bj", box("cy"))
-    b = points.select("x", "y", F.explode(near).alias("s")).withColumn("bi", box("x") + F.col("s.i")).withColumn("bj", box("y") + F.col("s.j"))
+    a = dealt(at.select("cx", "cy").distinct(), "cx", "cy").withColumn("bi", box("cx")).withColumn("bj", box("cy"))
+    spots = small(saved(points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))))
+    b = spots.select("x", "y", "c", F.explode(near).alias("s")).withColumn("bi", box("x") + F.col("s.i")).withColumn("bj", box("y") + F.col("s.j"))
     d2 = F.pow(F.col("cx") - F.col("x"), F.lit(2.0)) + F.pow(F.col("cy") - F.col("y"), F.lit(2.0))
-    s = a.join(b, ["bi", "bj"]).filter(d2 <= F.lit(25.0 * h * h)).groupBy("cell_id").agg(F.sum(F.exp(-d2 / F.lit(2.0 * h * h))).alias("s"))
-    return at.join(s, "cell_id", "left").crossJoin(F.broadcast(n)).select("cell_id", (F.coalesce("s", F.lit(0.0)) / (F.col("n") * F.lit(2.0) * F.pi() * F.lit(h * h))).alias("density"))
+    s = a.join(b, ["bi", "bj"]).filter(d2 <= F.lit(25.0 * h * h)).groupBy("cx", "cy").agg(F.sum(F.col("c") * F.exp(-d2 / F.lit(2.0 * h * h))).alias("s"))
+    s = small(saved(s))
+    return at.join(s, ["cx", "cy"], "left").crossJoin(F.broadcast(n)).select("cell_id", (F.coalesce("s", F.lit(0.0)) / (F.col("n") * F.lit(2.0) * F.pi() * F.lit(h * h))).alias("density"))
