@@ -7,6 +7,7 @@ squared sums less the sums of squares. Training is on a bounded sample, scoring
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,18 +77,18 @@ def features(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) -> np.nda
     return out
 
 
-def standard(raw: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    x = raw.copy()
+def standard(raw: np.ndarray, mean: np.ndarray, scale: np.ndarray, in_place: bool = False) -> np.ndarray:
+    x = raw if in_place else raw.copy()
     x[:, : len(STATS)] = np.clip((raw[:, : len(STATS)] - mean) / scale, -5, 5)
     x[:, len(STATS) :] *= 10
     return x
 
 
 def train(raw: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.02, decay: float = 1e-3, seed: int = 3) -> Model:
-    """Logistic loss, classes weighted to equal shares, Adam over small batches."""
+    """Logistic loss, classes weighted to equal shares, Adam over small batches. raw is overwritten."""
     rng = np.random.default_rng(seed)
     mean, scale = raw[:, : len(STATS)].mean(0), raw[:, : len(STATS)].std(0) + 1e-6
-    x = standard(raw, mean, scale)
+    x = standard(raw, mean, scale, in_place=True)
     size = x.shape[1]
     m = Model(0.0, np.zeros(size, np.float32), rng.normal(0, 0.01, (size, RANK)).astype(np.float32), mean, scale)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
@@ -114,14 +115,14 @@ def train(raw: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.02,
 
 
 def feature_rows(rows: DataFrame) -> DataFrame:
-    """(features binary, label double) of rows (text, label)."""
+    """(features binary, label double) of rows (text, label); features are compressed, as most shares are 0."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, at = utf8(batch.column(0))
             out = []
             for a, b in slices(at):
-                out += [f.tobytes() for f in features(data[at[a] : at[b]], at[a : b + 1] - at[a])]
+                out += [zlib.compress(f.tobytes(), 1) for f in features(data[at[a] : at[b]], at[a : b + 1] - at[a])]
             return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["features", "label"])
 
         return step
@@ -133,13 +134,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     """Learns from about per_label labelled texts of each label (0 and 1); null labels are left out, null texts are empty.
 
     labels are sampled by themselves and the sampled ids, a bounded number, are broadcast to the scan of docs. The sample
-    comes to the driver as features, 8 KB a row. None if there is no row to learn from.
+    comes to the driver as features, compressed, and fills one matrix of 8 KB a row there. None if there is no row to learn from.
     """
     sample = labelled_sample(docs, labels, label_column, {0: per_label, 1: per_label}, id_column, text_column)
-    got = sorted((r[1], bytes(r[0])) for r in feature_rows(sample.select("text", "label")).collect())
+    got = [(r[1], bytes(r[0])) for r in feature_rows(sample.select("text", "label")).collect()]
     if not got:
         return None
-    return train(np.stack([np.frombuffer(f, np.float32) for _, f in got]), np.array([float(y > 0) for y, _ in got]))
+    got.sort(key=lambda r: (r[0], zlib.decompress(r[1])))
+    raw = np.empty((len(got), len(STATS) + BUCKETS), np.float32)
+    for row, (_, f) in zip(raw, got, strict=True):
+        row[:] = np.frombuffer(zlib.decompress(f), np.float32)
+    return train(raw, np.array([float(y > 0) for y, _ in got]))
 
 
 def score(docs: DataFrame, model: Model | None, text_column: str = "text", out: str = "score") -> DataFrame:
