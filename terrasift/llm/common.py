@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import checkpoint_dir, saved
+from ..storage import checkpoint_dir, saved, saved_bytes
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step takes at most (a longer text is one step of its own).
 SLICE_BYTES = 1 << 20
 #: Bytes up to which a side may be broadcast, by its counted rows and the bytes of one; beyond it callers shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Bytes up to which an intermediate table is one partition (`gathered`).
+GATHER_BYTES = 4 << 20
 #: Bits of a bloom filter of keys: at least 8 for each key, and so many (32 MB) at most.
 BLOOM_BITS = 1 << 28
 
@@ -32,6 +34,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """As checkpoint; a table of GATHER_BYTES at most is read as one partition, whatever the number of shuffle partitions.
+
+    What follows on such tables alone is then one task and no shuffle: each task costs the driver memory (what it keeps of
+    stages that are done), however few rows it has. Larger tables stay dealt as they are.
+    """
+    out = saved(df)
+    release(df.sparkSession)
+    return out.coalesce(1) if saved_bytes(out) <= GATHER_BYTES else out
+
+
 def release(spark: SparkSession) -> None:
     """Has the driver notice plans that are out of use, so that Spark deletes their shuffle files from the executors."""
     gc.collect()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, at_column, checkpoint, joined, list_array, map_batches, parted, picked, positional, release, shingles, slices, small_enough, span_hashes, utf8, word_spans
+from .common import LOWER, NOT_SPACE, at_column, checkpoint, gathered, joined, list_array, map_batches, parted, picked, positional, release, shingles, slices, small_enough, span_hashes, utf8, word_spans
 from .graph import components
 
 #: Sets, and n-grams of them, that one tree takes of a candidate group; larger groups are taken apart.
@@ -153,7 +153,7 @@ def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
     # n-grams that no other class has come first in the order; of the others, so many as the prefix has room for
     room = lacking_column("size", threshold) + 1 - (F.col("size") - F.size("shared"))
     prefix = own.withColumn("room", room).filter("room > 0").select("rep", F.explode(F.slice("shared", F.lit(1), F.col("room").cast("int"))).alias("p"))
-    return checkpoint(prefix.select("rep", F.col("p.t").alias("t"), F.col("p.df").alias("df")))
+    return gathered(prefix.select("rep", F.col("p.t").alias("t"), F.col("p.df").alias("df")))
 
 
 def candidate_edges(prefix: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def first_round(entries: DataFrame, sets: int, grams: int) -> DataFrame:
     """
     own = entries.groupBy("rep", "size").agg(F.max(F.struct("df", "t"))["t"].alias("t"))
     all_ = own.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.min("rep").alias("lead")).filter("n > 1")
-    all_ = checkpoint(all_.select("t", "lead", parts_of(F.col("n"), F.col("w"), sets, grams).alias("parts")))
+    all_ = gathered(all_.select("t", "lead", parts_of(F.col("n"), F.col("w"), sets, grams).alias("parts")))
     members = joined(own, all_, "t", "inner", CLASS_BYTES).select("rep", F.xxhash64("t", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("grp"))
     leads = all_.select(F.col("lead").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("k"), "t").select("rep", F.xxhash64("t", "k").alias("grp"))
     return members.unionByName(leads).distinct()
@@ -295,20 +295,20 @@ def last_round(entries: DataFrame, known: DataFrame, sets: int, grams: int) -> D
     that the same sets share are one: they are known by their number and 128 bits over their sets.
     """
     known = known.select(F.col("node").alias("rep"), F.col("root").alias("label"))
-    both = checkpoint(entries.join(known, "rep", "left").select("rep", "t", "size", "root", F.coalesce("label", "rep").alias("label")))
+    both = gathered(entries.join(known, "rep", "left").select("rep", "t", "size", "root", F.coalesce("label", "rep").alias("label")))
     alike = both.groupBy("root", "t").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    apart = checkpoint(alike.filter("lo <> hi").groupBy("root", "n", "x", "y").agg(F.min("t").alias("t")).select("t"))
+    apart = gathered(alike.filter("lo <> hi").groupBy("root", "n", "x", "y").agg(F.min("t").alias("t")).select("t"))
     by_gram = mixed_groups(joined(both, apart, "t", "left_semi"), ["root", "t"])
     members = both.select("rep", "size", "root", "label").distinct()
     by_root = mixed_groups(members, ["root"])
     pairs = ((F.col("n") - F.col("m.n")) * F.col("n")).cast("double")  # about how many pairs a group makes
     cost = by_root.select("root", pairs.alias("whole")).join(by_gram.groupBy("root").agg(F.sum(pairs).alias("grams")), "root")
-    cost = checkpoint(cost.select("root", (F.col("whole") <= F.col("grams")).alias("together")))
+    cost = gathered(cost.select("root", (F.col("whole") <= F.col("grams")).alias("together")))
     half = lambda n, w: parts_of(n, w, max(1, sets // 2), max(1, grams // 2))
     n, w = F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")
     plan = ("key", F.col("m.label").alias("main"), ((F.col("n") <= sets) & (F.col("w") <= grams)).alias("one"), half(F.col("m.n"), F.col("m.w")).alias("c"), half(n, w).alias("u"))
-    apart_plan = checkpoint(by_gram.join(cost.filter("NOT together"), "root").withColumn("key", F.col("t")).select(*plan))
-    root_plan = checkpoint(by_root.join(cost.filter("together"), "root").withColumn("key", F.col("root")).select(*plan))
+    apart_plan = gathered(by_gram.join(cost.filter("NOT together"), "root").withColumn("key", F.col("t")).select(*plan))
+    root_plan = gathered(by_root.join(cost.filter("together"), "root").withColumn("key", F.col("root")).select(*plan))
     rows = joined(both.select("rep", "label", F.col("t").alias("key")), apart_plan, "key", "inner", CLASS_BYTES).withColumn("kind", F.lit(0))
     rows = rows.unionByName(joined(members.select("rep", "label", F.col("root").alias("key")), root_plan, "key", "inner", CLASS_BYTES).withColumn("kind", F.lit(1)))
     draw, zero = F.xxhash64("rep"), F.lit(0).cast("long")
@@ -319,26 +319,27 @@ def last_round(entries: DataFrame, known: DataFrame, sets: int, grams: int) -> D
     outer = F.transform(upto("c"), lambda i: name(1, i, mine))
     cross = F.transform(upto("u"), lambda k: name(2, F.least(k, mine), F.greatest(k, mine)))
     keys = F.when(F.col("one"), F.array(name(0, zero, zero))).when(F.col("label") == F.col("main"), inner).otherwise(F.concat(outer, cross))
-    return rows.select("rep", F.explode(keys).alias("grp")).distinct()
+    # dealt before names are made: they are far more than the rows, and the same name of a set comes from its own rows only
+    return rows.repartition("rep").select("rep", F.explode(keys).alias("grp")).distinct()
 
 
 def links(sets: DataFrame, threshold: int, most: int = SETS, grams: int = GRAMS) -> DataFrame:
     """(node, root): the classes that have a partner, each once, with the smallest of their component; sets has each rep once."""
     prefix = prefixes(sets, threshold)
-    groups = checkpoint(components(candidate_edges(prefix)))
+    groups = gathered(components(candidate_edges(prefix)))
     release(sets.sparkSession)
     sizes = sets.select("rep", "size")
     weight = groups.join(sizes, groups["node"] == sizes["rep"]).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
-    large = checkpoint(weight.filter((F.col("n") > most) | (F.col("w") > grams)).select("root"))
+    large = gathered(weight.filter((F.col("n") > most) | (F.col("w") > grams)).select("root"))
     # whole sets move to their trees only: they are too wide to be shuffled just to learn where they go
-    met = lambda dealt: checkpoint(connected(picked(sets, checkpoint(dealt), ["rep"], CLASS_BYTES), threshold))
+    met = lambda dealt: gathered(connected(picked(sets, gathered(dealt), ["rep"], CLASS_BYTES), threshold))
     small = groups.join(large, "root", "left_anti").select(F.col("node").alias("rep"), F.col("root").alias("grp"))
     stars = met(small)
     if large.head(1):
         inside = groups.join(large, "root", "left_semi").select(F.col("node").alias("rep"), "root")
-        entries = checkpoint(prefix.join(inside, "rep").join(sizes, "rep"))
+        entries = gathered(prefix.join(inside, "rep").join(sizes, "rep"))
         one = met(first_round(entries, most, grams))
-        two = met(last_round(entries, checkpoint(components(one)), most, grams))
+        two = met(last_round(entries, gathered(components(one)), most, grams))
         stars = stars.unionByName(one).unionByName(two)
     return components(stars)
 
@@ -354,17 +355,17 @@ def classified(rows: DataFrame, n: int, threshold: int, most: int = SETS, grams:
     """(nul, id, th, size, a, b, class, component) for rows (nul, id, th, text); class and component are the first (nul, id, th) of each."""
     share = min(1.0, 1.6 * (100 - threshold) / 100)
     signed_ = checkpoint(signatures(rows, n, share))
-    open_ = checkpoint(survivors(signed_, threshold))
+    open_ = gathered(survivors(signed_, threshold))
     signed_ = checkpoint(signed_.drop("part"))
     release(rows.sparkSession)  # the shuffles behind open_, and the wider rows
     sets = once(full_sets(rows, open_, n))
     release(rows.sparkSession)
     linked = links(sets, threshold, most, grams).join(sets.select("rep", F.col("a").alias("a"), F.col("b").alias("b")), F.col("node") == F.col("rep")).select("a", "b", "root")
     classes = signed_.filter("size > 0").groupBy("a", "b").agg(F.min(F.struct("nul", "id", "th")).alias("class"), F.count(F.lit(1)).alias("rows"))
-    named = checkpoint(classes.join(linked, ["a", "b"]))
+    named = gathered(classes.join(linked, ["a", "b"]))
     first = named.groupBy("root").agg(F.min("class").alias("component"))
-    classes = checkpoint(classes.join(named.join(first, "root").select("a", "b", "component"), ["a", "b"], "left"))
-    hot = checkpoint(classes.filter(F.col("rows") > HOT).drop("rows"))  # classes of many copies, so that these need not meet in one task
+    classes = gathered(classes.join(named.join(first, "root").select("a", "b", "component"), ["a", "b"], "left"))
+    hot = gathered(classes.filter(F.col("rows") > HOT).drop("rows"))  # classes of many copies, so that these need not meet in one task
     if small_enough(hot, 2 * CLASS_BYTES):
         cold = signed_.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti").join(classes.filter(F.col("rows") <= HOT).drop("rows"), ["a", "b"], "left")
         out = signed_.join(F.broadcast(hot), ["a", "b"]).unionByName(cold)
@@ -400,7 +401,7 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: int = 80, id_column: str
     found = classified(rows.select(*key, "text"), n, threshold)
     blank = F.col("size") == 0
     go = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_and(blank | (F.col("component") == F.struct(*key))).alias("stays"), F.bool_and(blank).alias("blank"))
-    go = checkpoint(go.filter("NOT blank AND (n > 1 OR NOT stays)").select(*key, "stays"))
+    go = gathered(go.filter("NOT blank AND (n > 1 OR NOT stays)").select(*key, "stays"))
     own = [f"c{k}" for k in range(len(docs.columns))]
     if small_enough(go, CLASS_BYTES):
         kept = listed = rows.join(F.broadcast(go), key, "left")
