@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator, Sequence
 
@@ -51,6 +52,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns this process's freed memory to the system, where the C library can; freed arrays of some KB stay with it otherwise."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def small_enough(df: DataFrame, row_bytes: int) -> bool:
     """Whether df, already materialised and of about so many bytes a row, is small enough to be broadcast."""
     return df.count() * row_bytes <= BROADCAST_BYTES

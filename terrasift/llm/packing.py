@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, at_column, byte_class, checkpoint, map_batches, numbered, positional, slices, span_hashes, utf8
+from .common import U64, at_column, byte_class, checkpoint, give_back, map_batches, numbered, positional, slices, span_hashes, utf8
 
 #: Distinct words whose ids a task remembers before it starts anew.
 CACHE_WORDS = 2_000_000
@@ -358,6 +358,14 @@ def complete(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Patt
     return search(counts, capacity, nodes, quick, fillings)
 
 
+def planned(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]:
+    """As complete; what the search took of the driver's memory goes back to the system."""
+    plan = complete(counts, capacity, nodes)
+    reachable.cache_clear()
+    give_back()
+    return plan
+
+
 def search(counts: np.ndarray, capacity: int, nodes: int, incumbent: list[Pattern], fillings: Callable[[np.ndarray, int, int], Iterator[tuple[int, list[int]]]]) -> list[Pattern]:
     """Bin completion with branch and bound over counts: the incumbent, or a packing of fewer sequences.
 
@@ -422,7 +430,7 @@ def pack(rows: DataFrame, capacity: int = 2048, nodes: int = NODES) -> DataFrame
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `capacity` rows
         counts[size] = n
-    plan = complete(counts, capacity, nodes)
+    plan = planned(counts, capacity, nodes)
     # by size: the first number that a pattern takes, how many a sequence, first sequence, place in it
     dealt, sequence = [], 0
     taken = np.zeros(capacity + 1, np.int64)
